@@ -118,12 +118,21 @@ class Finder:
         self.codes = [codes(t) for _, t in self.items]
 
     def starts(self, text: str) -> dict[int, set[int]]:
-        """For each item the starts of windows, to a half of the edits allowed."""
-        found: dict[int, set[int]] = {}
+        """For each item the starts of windows: of starts that lie within half the edits allowed, that of most pieces."""
+        votes: dict[int, dict[int, int]] = {}
         for end, (n, where) in self.machine.iter(text):
             for x, offset in where:
-                half = max(1, edits_of(len(self.items[x][1])) // 2)
-                found.setdefault(x, set()).add((end + 1 - n - offset) // half)
+                own = votes.setdefault(x, {})
+                s = end + 1 - n - offset
+                own[s] = own.get(s, 0) + 1
+        found: dict[int, set[int]] = {}
+        for x, own in votes.items():
+            half = max(1, edits_of(len(self.items[x][1])) // 2)
+            best: dict[int, tuple[int, int]] = {}
+            for s, c in own.items():
+                if (c, -s) > best.get(s // half, (0, 0)):
+                    best[s // half] = (c, -s)
+            found[x] = {-s for _, s in best.values()}
         return found
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -135,8 +144,7 @@ class Finder:
         for r, t in enumerate(plain):
             if t:
                 for x, places in self.starts(t).items():
-                    half = max(1, edits_of(len(self.items[x][1])) // 2)
-                    wanted.setdefault(x, []).extend((r, max(0, p * half)) for p in sorted(places))
+                    wanted.setdefault(x, []).extend((r, max(0, p)) for p in sorted(places))
         out = []
         for x, spots in wanted.items():
             item_id, item = self.items[x]

@@ -31,12 +31,18 @@ ADDRESS = re.compile(r"\b(?:you|your|you're|ur)\b")
 SAMPLE_ROWS = 4000
 MINED_VOTERS = 12
 MOST_FEATURES = 20_000
+#: Least z-score of a feature's log-odds between the classes.
+LEAST_Z = 3.3
 LIMIT = 0.7
 
 
+THEME = {w: f"[{name}]" for name, x in LEXICONS for w in x.split()}
+
+
 def features(word: str) -> tuple[str, ...]:
-    """A word and its first four and five letters, which inflected and compounded forms share."""
-    return (word, *[f"{word[:k]}*" for k in (4, 5) if len(word) >= k])
+    """A word, its first four and five letters, which inflected and compounded forms share, and its lexicon."""
+    own = (word, *[f"{word[:k]}*" for k in (4, 5) if len(word) >= k])
+    return (*own, "[any]", THEME[word]) if word in THEME else own
 
 
 def words_of(text: str) -> set[str]:
@@ -54,7 +60,7 @@ def _log_odds(sets: list[set[str]], y: np.ndarray) -> list[tuple[str, float]]:
     n1, n = y.sum(), len(y)
     out = []
     for f, c in seen.items():
-        if c >= 4:
+        if c >= 3:
             a, b = pos[f] + 0.5, c - pos[f] + 0.5
             lift = np.log(a / (n1 - a + 1)) - np.log(b / (n - n1 - b + 1))
             out.append((f, float(lift / np.sqrt(1 / a + 1 / b))))
@@ -103,22 +109,28 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
     return q, {"toxic": p1, "clean": p0, "correlation": corr}
 
 
-def linear(sets: list[set[str]], y: np.ndarray, decay: float = 1e-4, rounds: int = 400) -> dict[str, float]:
-    """Logistic regression on soft labels over the presence of features; the intercept is at ''."""
-    chosen = sorted((x for x in _log_odds(sets, y) if abs(x[1]) >= 4), key=lambda x: (-abs(x[1]), x[0]))[:MOST_FEATURES]
+def linear(sets: list[set[str]], y: np.ndarray, decay: float = 1e-5, rounds: int = 1000) -> dict[str, float]:
+    """Logistic regression on soft labels over the presence of features; the intercept is at ''.
+
+    Only features that speak for toxicity enter, so no amount of other text can hide them. Both classes have the same
+    weight in all, as toxic rows are few.
+    """
+    chosen = sorted((x for x in _log_odds(sets, y) if x[1] >= LEAST_Z), key=lambda x: (-abs(x[1]), x[0]))[:MOST_FEATURES]
     at = {f: i for i, (f, _) in enumerate(chosen)}
     rows = [[at[f] for f in s if f in at] for s in sets]
     col = np.fromiter((c for r in rows for c in r), dtype=np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    w, b, g2, gb2 = np.zeros(len(at)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), np.full(len(at), 1e-8), 1e-8
+    w, b, g2, gb2 = np.zeros(len(at)), 0.0, np.full(len(at), 1e-8), 1e-8
+    even = y / max(y.sum(), 1e-9) + (1 - y) / max((1 - y).sum(), 1e-9)
+    even /= even.sum()
     for _ in range(rounds):
         z = b + np.bincount(row, w[col], minlength=len(rows))
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * even
         g = np.bincount(col, d[row], minlength=len(at)) + decay * w
         g2 += g * g
         gb2 += d.sum() ** 2
-        w -= 0.3 * g / np.sqrt(g2)
-        b -= 0.3 * d.sum() / np.sqrt(gb2)
+        w -= 0.5 * g / np.sqrt(g2)
+        b -= 0.5 * d.sum() / np.sqrt(gb2)
     return {"": b} | {f: float(w[i]) for f, i in at.items()}
 
 
@@ -155,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return _default()
     words = [set(x.split()) for x in pdf["words"]]
     sets = [{f for w in x for f in features(w)} for x in words]
-    odds = sorted((x for x in _log_odds(sets, gold) if x[1] >= 4), key=lambda x: (-x[1], x[0]))[:2000]
+    odds = sorted((x for x in _log_odds(sets, gold) if x[1] >= LEAST_Z), key=lambda x: (-x[1], x[0]))[:2000]
     mined = [{f for f, _ in odds[i::MINED_VOTERS]} for i in range(MINED_VOTERS)]
     votes = _votes(words, pdf[["address", "shout"]].to_numpy(), sets, mined)
     votes = np.column_stack([votes, np.where(gold > 0, 1, -1)])  # the label is one more voter, with an accuracy of its own
