@@ -3,13 +3,13 @@
 The CGK walk copies characters of a text while its pointer advances by random bits that depend on step and character;
 two texts at a small edit distance end up at a small Hamming distance. Windows of an item's size are embedded, keys
 sampled from a few coordinates of the embedding are compared in repeated tables, and windows that share a key with the
-item are verified by exact edit distance. Windows are placed where a piece of the item occurs: of k+1 pieces of an
-item, at least one stands unchanged in any window within k edits, so placing loses nothing.
+item are verified by exact edit distance. Windows are placed where pieces of the item occur: of k+3 pieces of an item,
+at least three stand unchanged in any window within k edits, at most k places out of line, so placing loses nothing.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -19,7 +19,18 @@ from pyspark.sql import functions as F
 
 from ._store import prepare, text_of
 
-GAP = re.compile(r"[\W_]+")
+
+class _Plain(dict):
+    """Code points of letters and digits to themselves, all others to a space, filled in as they come."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c if chr(c).isalnum() else 32
+        return self[c]
+
+
+PLAIN = _Plain()
+#: Pieces that must stand unchanged where a window is placed.
+PIECES = 3
 #: Edits allowed, as a share of the item's length.
 EDITS = 0.1
 #: LSH: walks, tables for each walk, coordinates of a key. A key agrees with probability (1 - h)^6 at Hamming share h.
@@ -27,11 +38,13 @@ WALKS, TABLES, COORDS = 4, 24, 6
 #: Characters of benchmark texts that one pass takes to every executor; a larger benchmark takes more passes.
 PASS_CHARS = 8_000_000
 SEED = 20240229
+#: Windows embedded at a time.
+WINDOWS = 2048
 
 
 def normal(text: str) -> str:
     """Lower case, with each run of other than letters and digits as one space."""
-    return GAP.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().translate(PLAIN).split())
 
 
 def edits_of(n: int) -> int:
@@ -63,36 +76,50 @@ def edit_search(item: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Walks:
-    """Embeds windows, and compares keys of windows and items."""
+    """Embeds windows, and compares keys of windows and items.
+
+    A walk takes as many steps as the item has characters, which covers about half of them; half of the walks run from
+    the end backwards, so every edit is behind the steps of half of the walks at most.
+    """
 
     def __init__(self, longest: int):
         rng = np.random.default_rng(SEED)
-        self.steps = max(1, 2 * longest)
-        self.bits = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int8)
-        self.at = rng.random((WALKS, TABLES, COORDS))
-
-    def embed(self, codes: np.ndarray, walk: int, steps: int) -> np.ndarray:
-        """Rows of character codes, padded with 0, to their walks of so many steps."""
-        n, width = codes.shape
-        place, rows = np.zeros(n, np.int64), np.arange(n)
-        out = np.zeros((n, steps), np.uint8)
-        for j in range(steps):
-            c = codes[rows, np.minimum(place, width - 1)]
-            c[place >= width] = 0
-            out[:, j] = c
-            place += self.bits[walk, j, c]
-        return out
-
-    def near(self, item: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Which windows share a key with the item."""
-        steps = 2 * len(item)
-        both = np.vstack([item[None], windows])
-        hit = np.zeros(len(windows), bool)
-        for w in range(WALKS):
-            e = self.embed(both, w, steps)
-            spots = (self.at[w] * steps).astype(np.int64)
-            hit |= (e[1:, spots] == e[0][spots][None]).all(2).any(1)
-        return hit
+        self.steps = max(1, longest)
+        self.bits = rng.integers(0, 2, (self.steps, WALKS * 256), dtype=np.int8)
+        self.at = rng.random((WALKS, TABLES * COORDS))
+
+    def keys(self, rows: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """For each row, walk, table and coordinate the character there; rows are embedded for items of these sizes."""
+        n, width = len(rows), int(sizes.max())
+        order = np.argsort(-sizes, kind="stable")
+        grid = np.zeros((WALKS, n, width + 1), np.uint8)  # the last place is 0: past the end
+        for i, r in enumerate(order):
+            c = rows[r][: sizes[r]]
+            grid[: WALKS // 2, i, : len(c)] = c
+            grid[WALKS // 2 :, i, : len(c)] = c[::-1]
+        steps = sizes[order]
+        spots = (self.at[:, None, :] * steps[None, :, None]).astype(np.int64)
+        flat, walk = grid.reshape(-1), np.arange(WALKS)[:, None] * 256
+        start = (np.arange(WALKS)[:, None] * n + np.arange(n)[None]) * (width + 1)
+        place, seen = start.copy(), np.zeros((width, WALKS, n), np.uint8)
+        alive = np.searchsorted(-steps, -np.arange(width), side="left")  # rows longer than each step
+        for j in range(width):
+            m = alive[j]
+            c = flat[place[:, :m]]
+            seen[j, :, :m] = c
+            place[:, :m] += self.bits[j][walk + c]
+        out = seen[spots, np.arange(WALKS)[:, None, None], np.arange(n)[None, :, None]]
+        back = np.empty_like(out)
+        back[:, order] = out
+        return back.reshape(WALKS, n, TABLES, COORDS)
+
+    def near(self, items: list[np.ndarray], which: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+        """Whether each window shares a key with its item."""
+        used, at = np.unique(which, return_inverse=True)
+        sizes = np.array([len(items[x]) for x in used])
+        own = self.keys([items[x] for x in used], sizes)
+        theirs = self.keys(windows, sizes[at])
+        return (theirs == own[:, at]).all(3).any(2).any(0)
 
 
 def codes(text: str) -> np.ndarray:
@@ -107,7 +134,7 @@ class Finder:
         self.walks = Walks(max((len(t) for _, t in self.items), default=1))
         pieces: dict[str, list[tuple[int, int]]] = {}
         for x, (_, t) in enumerate(self.items):
-            k = edits_of(len(t)) + 1
+            k = min(edits_of(len(t)) + PIECES, len(t))
             cuts = [len(t) * i // k for i in range(k + 1)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(t[a:b], []).append((x, a))
@@ -116,23 +143,35 @@ class Finder:
             self.machine.add_word(p, (len(p), where))
         self.machine.make_automaton()
         self.codes = [codes(t) for _, t in self.items]
+        self.need = [min(PIECES, len(t) - edits_of(len(t))) for _, t in self.items]
 
     def starts(self, text: str) -> dict[int, set[int]]:
         """For each item the starts of windows: of starts that lie within half the edits allowed, that of most pieces."""
-        votes: dict[int, dict[int, int]] = {}
+        votes: dict[int, list[int]] = {}
         for end, (n, where) in self.machine.iter(text):
             for x, offset in where:
-                own = votes.setdefault(x, {})
-                s = end + 1 - n - offset
-                own[s] = own.get(s, 0) + 1
+                if x in votes:
+                    votes[x].append(end + 1 - n - offset)
+                else:
+                    votes[x] = [end + 1 - n - offset]
         found: dict[int, set[int]] = {}
         for x, own in votes.items():
-            half = max(1, edits_of(len(self.items[x][1])) // 2)
+            need = self.need[x]
+            if len(own) < need:
+                continue
+            own.sort()
+            most = edits_of(len(self.items[x][1]))
+            lined: Counter = Counter()
+            for i in range(len(own) - need + 1):
+                if own[i + need - 1] - own[i] <= most:
+                    lined.update(own[i : i + need])
             best: dict[int, tuple[int, int]] = {}
-            for s, c in own.items():
-                if (c, -s) > best.get(s // half, (0, 0)):
-                    best[s // half] = (c, -s)
-            found[x] = {-s for _, s in best.values()}
+            for s, c in lined.items():
+                half = s // max(1, most // 2)
+                if (c, -s) > best.get(half, (0, 0)):
+                    best[half] = (c, -s)
+            if best:
+                found[x] = {-s for _, s in best.values()}
         return found
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -145,26 +184,21 @@ class Finder:
             if t:
                 for x, places in self.starts(t).items():
                     wanted.setdefault(x, []).extend((r, max(0, p)) for p in sorted(places))
-        out = []
-        for x, spots in wanted.items():
-            item_id, item = self.items[x]
-            n, most = len(item), edits_of(len(item))
-            for at in range(0, len(spots), 4096):
-                part = spots[at : at + 4096]
-                windows = np.zeros((len(part), n), np.uint8)
-                for i, (r, s) in enumerate(part):
-                    c = codes(plain[r][s : s + n])
-                    windows[i, : len(c)] = c
-                hit = self.walks.near(self.codes[x], windows)
-                best: dict[int, tuple] = {}
-                for (r, s), h in zip(part, hit, strict=True):
-                    if h:
-                        a = max(0, s - most)
-                        got = edit_search(item, plain[r][a : s + n + 2 * most + 1], most)
-                        if got and (r not in best or got[0] < best[r][0]):
-                            best[r] = (got[0], a + got[1])
-                out += [(r, item_id, d, max(0, e - n), e) for r, (d, e) in best.items()]
-        return out
+        spots = [(x, r, s) for x, places in wanted.items() for r, s in places]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for at in range(0, len(spots), WINDOWS):
+            part = spots[at : at + WINDOWS]
+            windows = [codes(plain[r][s : s + len(self.codes[x])]) for x, r, s in part]
+            hit = self.walks.near(self.codes, np.array([x for x, _, _ in part]), windows)
+            for (x, r, s), h in zip(part, hit, strict=True):
+                if h:
+                    item = self.items[x][1]
+                    n, most = len(item), edits_of(len(item))
+                    a = max(0, s - most)
+                    got = edit_search(item, plain[r][a : s + n + 2 * most + 1], most)
+                    if got and ((r, x) not in best or (got[0], a + got[1]) < best[r, x]):
+                        best[r, x] = (got[0], a + got[1])
+        return [(r, self.items[x][0], d, max(0, e - len(self.codes[x])), e) for (r, x), (d, e) in best.items()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
