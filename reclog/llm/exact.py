@@ -44,7 +44,7 @@ class DigestIndex:
 
     def read_plain(self) -> DataFrame:
         """Without the buckets, so that adaptive execution may split a hot digest in a join."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.read().schema).parquet(self.path)
 
     def add(self, hashed: DataFrame, id_col: str = "doc_id") -> None:
         """Append the digests that the index lacks. Of a batch's equal texts, the largest id stays."""

@@ -91,7 +91,7 @@ def digits(s: str, what: str, key: bytes, fixed: int = 0) -> str:
 
 
 def _check_digit(d: str) -> int:
-    return -sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+    return -sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
 
 
 def _range(a: int) -> int:
