@@ -8,7 +8,6 @@ posteriors, not the labels, train a linear classifier over words and word beginn
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -49,36 +48,24 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def _log_odds(sets: list[set[str]], y: np.ndarray) -> list[tuple[str, float]]:
-    """Features with the z-score of their log-odds between the classes, which may be soft."""
-    pos, seen = Counter(), Counter()
-    for s, p in zip(sets, y, strict=True):
-        seen.update(s)
-        if p > 1e-3:
-            for f in s:
-                pos[f] += p
-    n1, n = y.sum(), len(y)
-    out = []
-    for f, c in seen.items():
-        if c >= 3:
-            a, b = pos[f] + 0.5, c - pos[f] + 0.5
-            lift = np.log(a / (n1 - a + 1)) - np.log(b / (n - n1 - b + 1))
-            out.append((f, float(lift / np.sqrt(1 / a + 1 / b))))
-    return out
-
-
-def _votes(words: list[set[str]], flags: np.ndarray, sets: list[set[str]], mined: list[set[str]]) -> np.ndarray:
+def _log_odds(rows: list[np.ndarray], y: np.ndarray) -> list[tuple[int, float]]:
+    """Numbers of features with the z-score of their log-odds between the classes, which may be soft."""
+    every, times = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
+    seen, pos = np.bincount(every), np.bincount(every, times)
+    n1, n, own = y.sum(), len(y), np.nonzero(seen >= 3)[0]
+    a, b = pos[own] + 0.5, seen[own] - pos[own] + 0.5
+    lift = np.log(a / np.maximum(n1 - a + 1, 0.5)) - np.log(b / np.maximum(n - n1 - b + 1, 0.5))
+    return list(zip(own.tolist(), (lift / np.sqrt(1 / a + 1 / b)).tolist(), strict=True))
+
+
+def _votes(rows: list[np.ndarray], flags: np.ndarray, lexicons: list[set[int]], mined: list[set[int]]) -> np.ndarray:
     """Rows by voters: 1 toxic, -1 clean, 0 abstains."""
-    cols = []
-    for _, lexicon in LEXICONS:
-        own = set(lexicon.split())
-        cols.append([1 if w & own else 0 for w in words])
-    cols += [[1 if s & m else 0 for s in sets] for m in mined]
+    cols = [np.array([0 if own.isdisjoint(r.tolist()) else 1 for r in rows]) for own in [*lexicons, *mined]]
     hit = np.array(cols).max(axis=0)
     cols.append(np.where(hit == 0, -1, 0))  # nothing found
     cols.append(np.where((hit > 0) & (flags[:, 0] > 0), 1, 0))  # addressed to someone
     cols.append(np.where((hit > 0) & (flags[:, 1] > 0), 1, 0))  # shouted
-    return np.array([np.asarray(c) for c in cols]).T
+    return np.array(cols).T
 
 
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
@@ -109,15 +96,15 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple
     return q, {"toxic": p1, "clean": p0, "correlation": corr}
 
 
-def linear(sets: list[set[str]], y: np.ndarray, decay: float = 1e-5, rounds: int = 1000) -> dict[str, float]:
+def linear(found: list[np.ndarray], names: list[str], y: np.ndarray, decay: float = 1e-5, rounds: int = 1000) -> dict[str, float]:
     """Logistic regression on soft labels over the presence of features; the intercept is at ''.
 
     Only features that speak for toxicity enter, so no amount of other text can hide them. Both classes have the same
     weight in all, as toxic rows are few.
     """
-    chosen = sorted((x for x in _log_odds(sets, y) if x[1] >= LEAST_Z), key=lambda x: (-abs(x[1]), x[0]))[:MOST_FEATURES]
+    chosen = sorted((x for x in _log_odds(found, y) if x[1] >= LEAST_Z), key=lambda x: (-x[1], names[x[0]]))[:MOST_FEATURES]
     at = {f: i for i, (f, _) in enumerate(chosen)}
-    rows = [[at[f] for f in s if f in at] for s in sets]
+    rows = [[at[f] for f in r.tolist() if f in at] for r in found]
     col = np.fromiter((c for r in rows for c in r), dtype=np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, b, g2, gb2 = np.zeros(len(at)), 0.0, np.full(len(at), 1e-8), 1e-8
@@ -131,7 +118,7 @@ def linear(sets: list[set[str]], y: np.ndarray, decay: float = 1e-5, rounds: int
         gb2 += d.sum() ** 2
         w -= 0.5 * g / np.sqrt(g2)
         b -= 0.5 * d.sum() / np.sqrt(gb2)
-    return {"": b} | {f: float(w[i]) for f, i in at.items()}
+    return {"": b} | {names[f]: float(w[i]) for f, i in at.items()}
 
 
 def _default() -> dict[str, float]:
@@ -165,14 +152,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     gold = pdf["toxic"].to_numpy(dtype=float)
     if len(gold) == 0 or gold.min() == gold.max():
         return _default()
-    words = [set(x.split()) for x in pdf["words"]]
-    sets = [{f for w in x for f in features(w)} for x in words]
-    odds = sorted((x for x in _log_odds(sets, gold) if x[1] >= LEAST_Z), key=lambda x: (-x[1], x[0]))[:2000]
+    number: dict[str, int] = {}  # rows hold numbers, and each feature's text is there once
+    rows = [np.fromiter(dict.fromkeys(number.setdefault(f, len(number)) for w in x.split() for f in features(w)), np.int32) for x in pdf["words"]]
+    names = list(number)
+    odds = sorted((x for x in _log_odds(rows, gold) if x[1] >= LEAST_Z), key=lambda x: (-x[1], names[x[0]]))[:2000]
     mined = [{f for f, _ in odds[i::MINED_VOTERS]} for i in range(MINED_VOTERS)]
-    votes = _votes(words, pdf[["address", "shout"]].to_numpy(), sets, mined)
+    lexicons = [{number[w] for w in x.split() if w in number} for _, x in LEXICONS]
+    votes = _votes(rows, pdf[["address", "shout"]].to_numpy(), lexicons, mined)
     votes = np.column_stack([votes, np.where(gold > 0, 1, -1)])  # the label is one more voter, with an accuracy of its own
     posterior, _ = label_model(votes, gold)
-    return linear(sets, posterior)
+    return linear(rows, names, posterior)
 
 
 def score_column(model: dict[str, float], text: str = "text"):
