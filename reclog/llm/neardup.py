@@ -10,6 +10,7 @@ are compared by the overlap of their multisets, and classes are the connected co
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -29,8 +30,10 @@ BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
 #: While more processes than this are alive, each draws one mark a round.
 WIDE = 50_000
-#: Buckets up to this size compare all pairs between components; larger ones compare with a hub and go on to finer buckets.
+#: Buckets up to this size compare all pairs between components; larger ones compare with two hubs and then in blocks.
 SMALL = 40
+#: Documents and shingles of a block, and the shingles that are counted at once in a cell of two.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 400_000, 4096
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -232,6 +235,76 @@ def stars(entries: DataFrame, hubs: DataFrame) -> DataFrame:
     return met.select(F.least("hub", "same").alias("a"), F.greatest("hub", "same").alias("b"), F.expr(FITS.format("hub_n", "n")).alias("fits"))
 
 
+def _crossed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) of a cell: enough of the pairs of its two blocks that overlap by 0.8 to join what they join."""
+    hasher = Hasher()
+    marks, n = [], np.zeros(len(pdf), np.int64)
+    for i, t in enumerate(pdf["text"]):
+        h, c = hasher.bag(t)
+        n[i] = c.sum()
+        nth = np.arange(n[i]) - np.repeat(np.cumsum(c) - c, c)  # the k-th copy of a shingle is an element of its own
+        marks.append(_mixed(np.repeat(h, c) + nth.astype(np.uint64) * MIX[2]))
+    who = np.repeat(np.arange(len(pdf)), n)
+    _, mark, seen = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    who, mark = who[seen[mark] > 1], mark[seen[mark] > 1]
+    used, mark = np.unique(mark, return_inverse=True)
+    order = np.argsort(mark, kind="stable")
+    who, mark = who[order], mark[order]
+    both = np.zeros((len(pdf), len(pdf)))
+    for at in range(0, len(used), COLUMNS):
+        lo, hi = np.searchsorted(mark, [at, at + COLUMNS])
+        x = np.zeros((len(pdf), min(COLUMNS, len(used) - at)), np.float32)
+        x[who[lo:hi], mark[lo:hi] - at] = 1
+        both += x @ x.T
+    every = n[:, None] + n[None, :] - both
+    _, root = np.unique([bytes(r) for r in pdf["root"]], return_inverse=True)
+    apart = root[:, None] != root[None, :]
+    up, same, out = list(range(len(root))), list(pdf["same"]), []
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(apart & (both >= SIMILARITY * every - 1e-6), 1)), strict=True):
+        x, y = top(root[i]), top(root[j])
+        if x != y and both[i, j] / every[i, j] >= SIMILARITY:
+            up[x] = y
+            out.append((same[i], same[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def blocks(entries: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links of the documents of buckets with more than one component, all pairs compared; None if no bucket is left.
+
+    Buckets that share documents are one group, so that no pair is compared once a bucket. A group's documents are
+    dealt to classes of size and at random to blocks within a class; sizes that fit are at most a class apart, and
+    each two blocks that may fit are one cell, a task's work of bounded size.
+    """
+    now = entries.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    mixed = now.groupBy("key").agg(F.min("same").alias("least"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "least")
+    open_ = saved(now.join(mixed, "key").select("same", "n", "root", "least"), "open")
+    if open_.isEmpty():
+        return None
+    groups = components(open_.select("same", "least").distinct(), "same", "least").select(F.col("node").alias("same"), F.col("root").alias("group"))
+    step = -math.log(SIMILARITY) + 1e-6
+    nodes = open_.select("same", "n", "root").distinct().join(groups, "same").withColumn("size", F.floor(F.log("n") / step))
+    parts = nodes.groupBy("group", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    nodes = nodes.join(parts, ["group", "size"]).withColumn("own", F.pmod(F.xxhash64("same"), "parts"))
+    near = [parts.select("group", (F.col("size") - d).alias("size"), F.col("parts").alias(f"parts_{n}")) for d, n in ((1, "up"), (-1, "down"))]
+    nodes = nodes.join(near[0], ["group", "size"], "left").join(near[1], ["group", "size"], "left")
+    # A cell is (low class, its block, high class, its block).
+    cells = F.expr("""concat(
+        transform(sequence(0L, parts - 1), i -> struct(size as c, least(i, own) as i, size as d, greatest(i, own) as j)),
+        if(parts_up is null, array(), transform(sequence(0L, parts_up - 1), i -> struct(size as c, own as i, size + 1 as d, i as j))),
+        if(parts_down is null, array(), transform(sequence(0L, parts_down - 1), i -> struct(size - 1 as c, i as i, size as d, own as j))))""")
+    dealt = nodes.select("same", "root", "group", F.explode(cells).alias("cell")).select("same", "root", F.xxhash64("group", "cell").alias("cell"))
+    # Cells of one component only have nothing to compare.
+    some = dealt.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
+    full = dealt.join(some, "cell").join(texts, "same")
+    return saved(full.groupBy("cell").applyInPandas(_crossed, "a binary, b binary"), "crossed")
+
+
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots after further links: components of components, so that earlier links are not walked again."""
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
@@ -262,34 +335,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = texts_of(met, base, reps)  # whoever meets anyone does so here
     compared = met.where("fits").select("a", "b")
     roots = components(verified(compared, texts))
-    for _ in range(BANDS):
-        # Then only buckets with more than one component go on, with pairs between components.
-        rooted = entries.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-        sizes = rooted.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("same", "key"), "same", "n")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y"))
-        sizes = saved(sizes.where("x <> y").select("key", "docs", "hub"), "buckets")
-        if sizes.isEmpty():
-            break
-        small = rooted.join(sizes.where(F.col("docs") <= SMALL).select("key"), "key")
-        lists = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("same", "root", "n"))).alias("s")).select("s").distinct()  # lists of SMALL at most
-        pairs = lists.selectExpr("posexplode(s) as (i, a)", "s").selectExpr("a.same as a", f"explode(transform(filter(slice(s, i + 2, size(s)), y -> y.root <> a.root and {FITS.format("a.n", "y.n")}), y -> y.same)) as b")
-        large = entries.join(sizes.where(F.col("docs") > SMALL).select("key", "hub"), "key")
-        pairs = pairs.union(stars(entries, sizes.where(F.col("docs") > SMALL).select("key", "hub")).where("fits").select("a", "b")).distinct()
-        pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        pairs = saved(pairs, "pairs")
-        compared = compared.union(pairs)
-        found = verified(pairs, texts)
-        if not found.isEmpty():
-            roots = joined(roots, found)
-        # Large buckets still with more than one component go on: their documents meet again where they share a further band.
-        open_ = large.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-        mixed = open_.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        rest = large.drop("hub").join(mixed, "key").join(reps.select("same", "bands"), "same")
-        rest = rest.select("same", "n", "key", "band", F.posexplode("bands").alias("next", "also")).where("next > band")
-        entries = saved(rest.select("same", "n", F.col("next").alias("band"), F.xxhash64("key", "also").alias("key")), "entries")
-        if entries.isEmpty():
-            break
+    # Then only buckets with more than one component go on: small ones with all pairs between components, large ones
+    # with a second hub.
+    rooted = entries.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    sizes = rooted.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("same", "key"), "same", "n")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y"))
+    sizes = saved(sizes.where("x <> y").select("key", "docs", "hub"), "buckets")
+    small = rooted.join(sizes.where(F.col("docs") <= SMALL).select("key"), "key")
+    lists = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("same", "root", "n"))).alias("s")).select("s").distinct()  # lists of SMALL at most
+    pairs = lists.selectExpr("posexplode(s) as (i, a)", "s").selectExpr("a.same as a", f"explode(transform(filter(slice(s, i + 2, size(s)), y -> y.root <> a.root and {FITS.format("a.n", "y.n")}), y -> y.same)) as b")
+    large = saved(entries.join(sizes.where(F.col("docs") > SMALL).select("key", "hub"), "key"), "large")
+    pairs = pairs.union(stars(large.drop("hub"), sizes.where(F.col("docs") > SMALL).select("key", "hub")).where("fits").select("a", "b")).distinct()
+    pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    found = verified(saved(pairs, "pairs"), texts)
+    if not found.isEmpty():
+        roots = joined(roots, found)
+    # Large buckets still with more than one component compare all that is left, in blocks.
+    found = blocks(large.select("key", "same", "n"), roots, texts)
+    if found is not None and not found.isEmpty():
+        roots = joined(roots, found)
     known = reps.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     by_text = known.select("same", "root").join(classes, "root").select("same", "class_id", "class_size")

@@ -92,6 +92,22 @@ def test_large_bucket_keeps_links(spark):
     assert {r.class_id for r in found} == {0} and {r.class_size for r in found} == {80}
 
 
+def test_large_mixed_bucket_is_compared_whole(spark):
+    random.seed(5)
+    passage = [f"p{k}" for k in range(70)]
+    tails = [[f"t{i}x{k}" for k in range(9)] for i in range(2000)]
+    for i in range(0, 160, 2):
+        tails[i + 1][0] = tails[i][0]  # 67 of 83 shingles; other pairs have 66 of 84
+    texts = [" ".join(passage + t) for t in tails]
+    held = [set(zip(*[(passage + t)[k:] for k in range(5)])) for t in tails]
+    near = {(i, j) for i in range(2000) for j in (range(i + 1, 2000) if i < 160 else [i]) if 5 * len(held[i] & held[j]) >= 4 * len(held[i] | held[j]) and i != j}
+    assert near == {(i, i + 1) for i in range(0, 160, 2)}
+    rows = list(enumerate(texts))
+    random.shuffle(rows)
+    found = neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {(r.class_id, r.doc_id) for r in found if r.class_id != r.doc_id} == near
+
+
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: decontam.normal(r.text) for r in bench.collect()}
