@@ -44,6 +44,11 @@ def text_of(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_key(name: str = "text"):
+    """Digest of the text: with the id, the key of a row, as ids may be null or repeated."""
+    return F.unhex(F.sha2(F.encode(text_of(name), "utf-8"), 256))
+
+
 def global_rank(df: DataFrame, keys: list[str], name: str = "rank") -> DataFrame:
     """Add the 0-based rank in the order of keys over the whole table, without one task for all rows.
 

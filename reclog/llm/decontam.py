@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import prepare, text_of
+from ._store import prepare, text_key, text_of
 
 
 class _Plain(dict):
@@ -208,11 +208,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     allowed. Null and empty texts and items hold nothing and are held nowhere. A document's rows for one item are one,
     at the nearest place, the first of ties; repeated documents repeat their rows. Other columns are ignored.
     """
+    return _hits(docs, benchmark).drop("key")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated() with the digest of each row's text as key."""
     spark = prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text <> ''")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-total // PASS_CHARS))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_key().alias("key"))
     out = None
     for k in range(passes):  # one pass for a benchmark of usual size
         part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toLocalIterator()]
@@ -222,22 +227,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             finder = Finder(held.value)
             for pdf in batches:
                 rows = finder.find(list(pdf["text"]))
-                ids = pdf["doc_id"].to_numpy()
+                ids, keys = pdf["doc_id"].to_numpy(), pdf["key"].to_numpy()
                 best = {}
                 for r, i, d, s, e in rows:
                     if (r, i) not in best or (d, e) < (best[r, i][0], best[r, i][2]):
                         best[r, i] = (d, s, e)
-                yield pd.DataFrame([(ids[r], i, *x) for (r, i), x in best.items()], columns=["doc_id", "item_id", "distance", "start_char", "end_char"])
+                yield pd.DataFrame([(keys[r], ids[r], i, *x) for (r, i), x in best.items()], columns=["key", "doc_id", "item_id", "distance", "start_char", "end_char"])
 
-        hits = base.mapInPandas(found, "doc_id long, item_id long, distance int, start_char long, end_char long")
+        hits = base.mapInPandas(found, "key binary, doc_id long, item_id long, distance int, start_char long, end_char long")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold an item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """docs without the rows whose text holds an item; other texts under the same id, or without one, stay."""
+    bad = _hits(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_text")).distinct()
+    left = docs.withColumn("_key", text_key())
+    return left.join(bad, (F.col("_key") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import components, prepare, saved, text_of
+from ._store import components, prepare, saved, text_key, text_of
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -193,7 +193,7 @@ def _signed(batches):
             keys = _mixed(keys * MIX[1] + marks[:, :, r])
         keys = _mixed(keys + np.arange(BANDS, dtype=np.uint64))
         empty = [len(b[0]) == 0 for b in bags]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": same, "n": [int(b[1].sum()) for b in bags], "bands": [[] if e else list(k.view(np.int64)) for e, k in zip(empty, keys, strict=True)]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "same": same, "n": [int(b[1].sum()) for b in bags], "bands": [[] if e else list(k.view(np.int64)) for e, k in zip(empty, keys, strict=True)]})
 
 
 def _compared(batches):
@@ -315,16 +315,11 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return saved(old.union(new), "roots")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the least doc_id of its class), class_size in rows.
-
-    Texts whose words are the same are one text and meet no further; null and texts without words are the empty text,
-    one class of their own. Repeated rows each get their class. Null ids belong to the class of their text; a class
-    of null ids only has a null class_id. An empty table gives no rows; other columns are ignored.
-    """
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, same) of each row, key being a digest of its text, and (same, root, least, rows) of each text by words."""
     spark = prepare(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    signed = saved(base.mapInPandas(_signed, "doc_id long, same binary, n long, bands array<long>"), "signed")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_key(text_col).alias("key"))
+    signed = saved(base.mapInPandas(_signed, "doc_id long, key binary, same binary, n long, bands array<long>"), "signed")
     # Rows of one text agree in their bands, so max() keeps the bands of any of them.
     reps = saved(signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
     entries = saved(reps.select("same", "n", F.posexplode("bands").alias("band", "key")), "entries")
@@ -356,16 +351,32 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if found is not None and not found.isEmpty():
         roots = joined(roots, found)
     known = reps.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    return signed.select("doc_id", "key", "same"), known
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (the least doc_id of its class), class_size in rows.
+
+    Texts whose words are the same are one text and meet no further; null and texts without words are the empty text,
+    one class of their own. Repeated rows each get their class. Null ids belong to the class of their text; a class
+    of null ids only has a null class_id. An empty table gives no rows; other columns are ignored.
+    """
+    signed, known = _rooted(docs, id_col, text_col)
     classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     by_text = known.select("same", "root").join(classes, "root").select("same", "class_id", "class_size")
     return signed.select("doc_id", "same").join(by_text, "same").select("doc_id", "class_id", "class_size")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one with the class's least doc_id; of rows repeating that id, one."""
-    keep = near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one row of each class: the one with the class's least doc_id, null last; of texts under one id that
+    with the least digest. Classes are kept apart by id and text: each keeps a row, be its id null or repeated."""
+    signed, known = _rooted(docs, "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    by_text = signed.groupBy("same").agg(first)  # a row for each text before the join, so that no group of copies is met
+    keep = by_text.join(known.select("same", "root"), "same").groupBy("root").agg(F.min("first").alias("first"))
+    keep = keep.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_text"))
+    kept = docs.withColumn("_key", text_key()).join(keep, (F.col("_key") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
+    return kept.dropDuplicates(["_keep", "_key"]).select(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

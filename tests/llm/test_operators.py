@@ -244,3 +244,13 @@ def test_pipeline(spark):
     bad = {r.doc_id for r in decontam.contaminated(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, DATA).collect()} == {r.doc_id for r in docs.collect()} - bad
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_stages_keep_clean_rows_of_null_and_repeated_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards quietly box up jugs of old liquor"
+    texts = ["first text of all here now", "second one that differs much from it", "before it " + item + " after it"]
+    rows = [(i, t) for i in (None, 7) for t in texts] + [(None, texts[0]), (8, texts[1]), (None, "alone without any id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(neardup.near_dedup(docs).collect(), key=lambda r: r.text) == sorted([(7, t) for t in texts] + [(None, rows[-1][1])], key=lambda r: r[1])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert Counter(map(tuple, decontam.decontaminate(docs, bench).collect())) == Counter(r for r in rows if item not in r[1])
