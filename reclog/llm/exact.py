@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,15 +25,32 @@ def normalised(name: str = "text") -> Column:
 class DigestIndex:
     """A persistent index: digest, keep_id, group_size, one row for each distinct text.
 
-    Group size counts the rows of the batch that brought the text. An empty table makes an empty index.
+    Group size counts the rows of the batch that brought the text. An empty table makes an empty index. A path that
+    holds an index is opened with the buckets that it was made with, whichever are asked for.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or scratch(spark, "digests"), buckets
+        self.spark, self.path, self.buckets = spark, (path or scratch(spark, "digests")).rstrip("/"), buckets
         self.table = f"digests_{uuid.uuid4().hex}"
-        self.empty = True
+        self.empty = path is None or not self._opened()
+
+    def _opened(self) -> bool:
+        """Whether the path holds an index, which is then registered with its buckets."""
+        try:
+            schema = self.spark.read.parquet(self.path).schema
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return False
+            raise
+        self.buckets = self.spark.read.parquet(f"{self.path}-buckets").first()["buckets"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        place = self.path.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        return True
 
     def _append(self, rows: DataFrame) -> None:
+        if self.empty:  # the number of buckets comes first: an index without it can't be opened
+            self.spark.range(1).selectExpr(f"{self.buckets} AS buckets").write.mode("overwrite").parquet(f"{self.path}-buckets")
         # The parts of the shuffle match the buckets, so each task writes one file a bucket.
         out = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
         out.mode("overwrite" if self.empty else "append").option("path", self.path).format("parquet").saveAsTable(self.table)
@@ -71,8 +89,19 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    """The documents in two batches, the larger ids first, so that the largest id of a text is the one kept; null ids
+    come last. Group sizes are those of both batches."""
+    hashed = saved(digests(spark.read.parquet(f"{sf_dir}/documents.parquet")), "hashed")
+    middle = hashed.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    first = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
+    path = scratch(spark, "digests")
+    for batch in (hashed.where(first), hashed.where(~first)):
+        index = DigestIndex(spark, path)  # opened again, as by a later run
+        index.add(batch)
+    sizes = hashed.groupBy("digest").agg(F.count("*").alias("group_size"))
+    kept = index.read_plain().select("digest", "keep_id").join(sizes, "digest")
+    found = hashed.join(kept, "digest")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 OP6_SQL = f"""

@@ -49,6 +49,24 @@ def test_exact_second_batch(spark):
     assert got == {3: (1, False), 4: (4, True)} and index.read().count() == 3
 
 
+def test_exact_index_is_opened_again(spark, tmp_path):
+    path = str(tmp_path / "index")
+    batches = [spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a"), (2, "b")], [(3, "A"), (4, "c")])]
+    exact.exact_dedup(batches[0], exact.DigestIndex(spark, path, buckets=4))
+    index = exact.DigestIndex(spark, path)
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact.exact_dedup(batches[1], index).collect()}
+    assert got == {3: (1, False), 4: (4, True)} and index.buckets == 4 and exact.DigestIndex(spark, path).read().count() == 3
+
+
+def test_exact_query_by_batches(spark, odd, tmp_path):
+    docs = odd.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 2)).repartition(2)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = exact.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")))
+    assert Counter(map(tuple, exact.op6(spark, str(tmp_path)).collect())) == Counter(map(tuple, want.collect()))
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert exact.op6(spark, str(tmp_path)).count() == 0
+
+
 def test_near_classes(docs, odd):
     bags = {r.doc_id: Counter(zip(*[neardup.words(r.text)[k:] for k in range(5)])) or Counter([tuple(neardup.words(r.text))]) for r in docs.collect()}
     root = {i: i for i in bags}
