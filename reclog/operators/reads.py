@@ -37,14 +37,25 @@ def registry(records: DataFrame) -> DataFrame:
     return first.withColumn("stream_id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("created_entry_id")).cast("long"))
 
 
-def resolve(records: DataFrame, targets: DataFrame, mode: str) -> DataFrame:
-    """For each target (stream, target_us) the first sequence at or after it, or the last one at or before it."""
+def resolve(records: DataFrame, targets: DataFrame, mode: str, chunk_us: int = 3_600_000_000) -> DataFrame:
+    """For each target (stream, target_us) the first sequence at or after it, or the last one at or before it.
+
+    Targets and records are sorted together by time, in two levels as in `ordered`: a task sorts one chunk of time of
+    one stream, and one row for each stream and chunk carries what the chunks beyond it hold.
+    """
     after = mode == "AT_OR_AFTER"
-    on = (F.col("r.stream") == F.col("t.stream")) & (F.col("recorded_us") >= F.col("target_us") if after else F.col("recorded_us") <= F.col("target_us"))
-    seq, by = (F.min, F.min_by) if after else (F.max, F.max_by)
-    joined = targets.alias("t").join(records.select("stream", "sequence", "recorded_us").alias("r"), on, "left")
-    out = joined.groupBy(F.col("t.stream").alias("stream"), "target_us").agg(seq("sequence").alias("sequence"), by("recorded_us", "sequence").alias("recorded_us"))
-    return out.withColumn("found", F.col("sequence").isNotNull())
+    best = F.min if after else F.max
+    asked = targets.select("stream", "target_us").distinct()
+    rows = records.select("stream", F.col("recorded_us").alias("_t"), F.struct("sequence", "recorded_us").alias("_r"), F.lit(False).alias("_asked"))
+    rows = rows.unionByName(asked.select("stream", F.col("target_us").alias("_t"), F.lit(True).alias("_asked")), allowMissingColumns=True)
+    rows = rows.withColumn("_chunk", F.floor(F.col("_t") / chunk_us))
+    along = lambda c: F.col(c).desc() if after else F.col(c).asc()
+    beyond = best("_part").over(W.partitionBy("stream").orderBy(along("_chunk")).rowsBetween(W.unboundedPreceding, -1))
+    parts = rows.where("_t IS NOT NULL").groupBy("stream", "_chunk").agg(best("_r").alias("_part")).withColumn("_beyond", beyond).drop("_part")
+    own = best("_r").over(W.partitionBy("stream", "_chunk").orderBy(along("_t")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    out = rows.withColumn("_own", F.when(F.col("_t").isNotNull(), own)).where("_asked").join(parts, ["stream", "_chunk"], "left")
+    out = out.withColumn("_best", F.least("_own", "_beyond") if after else F.greatest("_own", "_beyond"))
+    return out.select("stream", F.col("_t").alias("target_us"), "_best.sequence", "_best.recorded_us").withColumn("found", F.col("sequence").isNotNull())
 
 
 def extents(records: DataFrame) -> DataFrame:
