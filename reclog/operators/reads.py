@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import CHUNK
+
 
 def read(records: DataFrame, stream: str, start: int, max_records: int, max_bytes: int) -> DataFrame:
     """Records from a sequence, while their count and running bytes stay within the budgets.
@@ -70,3 +72,15 @@ def locate(extents_: DataFrame, points: DataFrame) -> DataFrame:
     """The segment that holds each (stream, sequence); null if none does."""
     on = (F.col("p.stream") == F.col("x.stream")) & (F.col("p.sequence") >= F.col("first_sequence")) & (F.col("p.sequence") < F.col("next_sequence"))
     return points.alias("p").join(extents_.alias("x"), on, "left").select("p.stream", "p.sequence", "segment_id")
+
+
+def gaps(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(stream, sequence) of the records whose predecessor is missing, but for the first of each stream.
+
+    The first record of a chunk of sequences follows the last one of the preceding chunk that has any.
+    """
+    own = records.select("stream", "sequence").withColumn("_chunk", F.floor(F.col("sequence") / chunk))
+    ends = own.groupBy("stream", "_chunk").agg(F.max("sequence").alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy("stream").orderBy("_chunk")))
+    before = F.coalesce(F.lag("sequence").over(W.partitionBy("stream", "_chunk").orderBy("sequence")), F.col("_end"))
+    return own.join(ends, ["stream", "_chunk"]).withColumn("_p", before).where("sequence <> _p + 1").select("stream", "sequence")

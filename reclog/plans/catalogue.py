@@ -184,6 +184,7 @@ QUERIES = {name: _body(name) for name in SHARED} | {
     "resolve_at_or_after": _resolve("AT_OR_AFTER", WHOLE),
     "resolve_at_or_before": _resolve("AT_OR_BEFORE", WHOLE),
     "resolve_not_found": _resolve("AT_OR_AFTER", FAR),
+    "scrub_sequence": lambda s, d: reads.gaps(records(s, d).where("entry_id % 1001 <> 5")),
     "extents": lambda s, d: reads.extents(records(s, d)),
     "extent_lookup": _locate,
     "tail_gap_fill": _gap_fill,

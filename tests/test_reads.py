@@ -26,3 +26,16 @@ def test_resolve_by_chunks_of_time(spark):
 def test_resolve_asks_over_whole_streams(spark):
     found = catalogue.QUERIES["resolve_at_or_after"](spark, "/root/testdata/sf0.1")
     assert found.agg({"sequence": "max"}).first()[0] > 19000
+
+
+def test_gaps_at_borders_of_chunks(spark):
+    held = {"a": set(range(60)) - {9, 20, *range(30, 40), 55}, "b": set(range(3, 25)) - {10}}
+    rows = spark.createDataFrame([(s, q) for s, x in held.items() for q in x], "stream string, sequence long")
+    want = {(s, q) for s, x in held.items() for q in x if q - 1 not in x and q != min(x)}
+    assert {tuple(r) for r in reads.gaps(rows, chunk=10).collect()} == want
+
+
+def test_scrub_reports_a_gap_at_a_hundred_thousand(spark, monkeypatch):
+    few = spark.range(99990, 100010).where("id <> 100000").selectExpr("'a' AS stream", "id AS sequence", "0L AS entry_id")
+    monkeypatch.setattr(catalogue, "records", lambda s, d: few)
+    assert [tuple(r) for r in catalogue.QUERIES["scrub_sequence"](spark, "").collect()] == [("a", 100001)]
