@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns
-from ..operators import append, ordered, reads
+from ..operators import append, maintain, ordered, reads
 from ..sources.tables import records
 
 REC = """WITH base AS (
@@ -164,6 +164,12 @@ def _canonical(spark: SparkSession, d: str) -> DataFrame:
     return rec.select("entry_id", text(F.create_map(F.lit("z"), F.col("stream"), F.lit("a"), F.col("producer"))).alias("headers"))
 
 
+def _compaction(spark: SparkSession, d: str) -> DataFrame:
+    """What the merge of the compaction choice holds, whatever segments the table has."""
+    rec = records(spark, d)
+    return maintain.merged(rec, maintain.compaction_inputs(maintain.segments(rec)))
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Append requests made from records: some repeat an earlier one, some conflict, some are ahead."""
     return records(spark, d).select(
@@ -192,6 +198,8 @@ QUERIES = {name: _body(name) for name in SHARED} | {
     "byte_offset": lambda s, d: records(s, d).select("stream", "sequence", "byte_offset"),
     "request_hash": _hash,
     "canonical_headers": _canonical,
+    "compaction_inputs": lambda s, d: maintain.compaction_inputs(maintain.segments(records(s, d))),
+    "compaction_merge": _compaction,
     "append_outcomes": lambda s, d: append.entry_ids(append.decide(requests(s, d))),
 }
 ORACLE_SQL = {name: _oracle(name) for name in SHARED} | {
