@@ -30,6 +30,8 @@ BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
 #: While more processes than this are alive, each draws one mark a round.
 WIDE = 50_000
+#: Slots in which the sketches of a pair must agree to be verified: at 0.8 a pair has fewer with probability 1e-7.
+AGREE = 80
 #: Buckets up to this size compare all pairs between components; larger ones compare with two hubs and then in blocks.
 SMALL = 40
 #: Documents and shingles of a block, and the shingles that are counted at once in a cell of two.
@@ -187,13 +189,22 @@ def _signed(batches):
             h = hasher.words(t)
             same.append(_same(h))
             bags.append(np.unique(shingles(h), return_counts=True))
-        marks = signatures(bags).reshape(len(pdf), BANDS, ROWS)
+        marks = signatures(bags)
         keys = np.full((len(pdf), BANDS), 0, np.uint64)
         for r in range(ROWS):
-            keys = _mixed(keys * MIX[1] + marks[:, :, r])
+            keys = _mixed(keys * MIX[1] + marks.reshape(len(pdf), BANDS, ROWS)[:, :, r])
         keys = _mixed(keys + np.arange(BANDS, dtype=np.uint64))
+        sketch = [x.tobytes() for x in (marks & np.uint64(255)).astype(np.uint8)]
         empty = [len(b[0]) == 0 for b in bags]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "same": same, "n": [int(b[1].sum()) for b in bags], "bands": [[] if e else list(k.view(np.int64)) for e, k in zip(empty, keys, strict=True)]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "same": same, "n": [int(b[1].sum()) for b in bags], "sketch": sketch, "bands": [[] if e else list(k.view(np.int64)) for e, k in zip(empty, keys, strict=True)]})
+
+
+def _alike(batches):
+    """Pairs whose sketches agree in enough slots for 0.8."""
+    for pdf in batches:
+        if len(pdf):
+            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), SLOTS) for c in ("sketch_a", "sketch_b"))
+            yield pdf.loc[(x == y).sum(1) >= AGREE, ["a", "b"]]
 
 
 def _compared(batches):
@@ -203,26 +214,24 @@ def _compared(batches):
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def _owned(batches):
-    """Rows whose text has the digest asked for: rows may share an id and differ in text."""
-    hasher = Hasher()
-    for pdf in batches:
-        yield pdf[[bytes(s) == _same(hasher.words(t)) for s, t in zip(pdf["same"], pdf["text"], strict=True)]]
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may overlap by 0.8, by their sketches: a byte of each slot of the signature."""
+    one, two = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    return saved(pairs.join(one, "a").join(two, "b").mapInPandas(_alike, "a long, b long"), "alike")
 
 
-def texts_of(pairs: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
-    """(same, text) of the texts in pairs."""
-    needed = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-    ids = reps.join(needed, "same").select("same", F.col("least").alias("_id"))
-    rows = base.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("same", "text")
-    return saved(rows.mapInPandas(_owned, "same binary, text string").dropDuplicates(["same"]), "texts")
+def texts_of(ids: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, text) of the texts with these ids: the text of the row that reps names by doc_id and digest."""
+    needed = reps.join(ids.distinct(), "id").select("id", F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
+    rows = base.join(needed, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
+    return saved(rows.dropDuplicates(["id"]), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts overlap by 0.8 or more."""
-    both = pairs.join(texts.select(F.col("same").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("same").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each is work: no coalescing
-    return saved(both.repartition(n, "a", "b").mapInPandas(_compared, "a binary, b binary"), "links")
+    return saved(both.repartition(n, "a", "b").mapInPandas(_compared, "a long, b long"), "links")
 
 
 #: Bags of which one has under 0.8 of the other's shingles can't overlap by 0.8: nothing is lost by not comparing them.
@@ -230,9 +239,9 @@ FITS = f"least({{0}}, {{1}}) >= {SIMILARITY} * greatest({{0}}, {{1}}) - 1e-6"
 
 
 def stars(entries: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's hub with its other documents, and whether their sizes fit."""
-    met = entries.join(hubs.select("key", F.col("hub.same").alias("hub"), F.col("hub.n").alias("hub_n")), "key").where("hub <> same")
-    return met.select(F.least("hub", "same").alias("a"), F.greatest("hub", "same").alias("b"), F.expr(FITS.format("hub_n", "n")).alias("fits"))
+    """Pairs (a, b) of each bucket's hub with its other documents whose sizes fit."""
+    met = entries.join(hubs.select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "key").where("hub <> id").where(FITS.format("hub_n", "n"))
+    return met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
 
 
 def _crossed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,9 +266,9 @@ def _crossed(pdf: pd.DataFrame) -> pd.DataFrame:
         x[who[lo:hi], mark[lo:hi] - at] = 1
         both += x @ x.T
     every = n[:, None] + n[None, :] - both
-    _, root = np.unique([bytes(r) for r in pdf["root"]], return_inverse=True)
+    _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
     apart = root[:, None] != root[None, :]
-    up, same, out = list(range(len(root))), list(pdf["same"]), []
+    up, own, out = list(range(len(root))), pdf["id"].tolist(), []
 
     def top(x):
         while up[x] != x:
@@ -270,27 +279,31 @@ def _crossed(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = top(root[i]), top(root[j])
         if x != y and both[i, j] / every[i, j] >= SIMILARITY:
             up[x] = y
-            out.append((same[i], same[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
+            out.append((own[i], own[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
 
+def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-def blocks(entries: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+
+def blocks(entries: DataFrame, roots: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame | None:
     """Links of the documents of buckets with more than one component, all pairs compared; None if no bucket is left.
 
     Buckets that share documents are one group, so that no pair is compared once a bucket. A group's documents are
     dealt to classes of size and at random to blocks within a class; sizes that fit are at most a class apart, and
     each two blocks that may fit are one cell, a task's work of bounded size.
     """
-    now = entries.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    mixed = now.groupBy("key").agg(F.min("same").alias("least"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "least")
-    open_ = saved(now.join(mixed, "key").select("same", "n", "root", "least"), "open")
+    now = with_roots(entries, roots)
+    mixed = now.groupBy("key").agg(F.min("id").alias("least"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key", "least")
+    open_ = saved(now.join(mixed, "key").select("id", "n", "root", "least"), "open")
     if open_.isEmpty():
         return None
-    groups = components(open_.select("same", "least").distinct(), "same", "least").select(F.col("node").alias("same"), F.col("root").alias("group"))
+    groups = components(open_.select("id", "least").distinct(), "id", "least").select(F.col("node").alias("id"), F.col("root").alias("group"))
     step = -math.log(SIMILARITY) + 1e-6
-    nodes = open_.select("same", "n", "root").distinct().join(groups, "same").withColumn("size", F.floor(F.log("n") / step))
+    nodes = open_.select("id", "n", "root").distinct().join(groups, "id").withColumn("size", F.floor(F.log("n") / step))
     parts = nodes.groupBy("group", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    nodes = nodes.join(parts, ["group", "size"]).withColumn("own", F.pmod(F.xxhash64("same"), "parts"))
+    nodes = nodes.join(parts, ["group", "size"]).withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
     near = [parts.select("group", (F.col("size") - d).alias("size"), F.col("parts").alias(f"parts_{n}")) for d, n in ((1, "up"), (-1, "down"))]
     nodes = nodes.join(near[0], ["group", "size"], "left").join(near[1], ["group", "size"], "left")
     # A cell is (low class, its block, high class, its block).
@@ -298,11 +311,12 @@ def blocks(entries: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame
         transform(sequence(0L, parts - 1), i -> struct(size as c, least(i, own) as i, size as d, greatest(i, own) as j)),
         if(parts_up is null, array(), transform(sequence(0L, parts_up - 1), i -> struct(size as c, own as i, size + 1 as d, i as j))),
         if(parts_down is null, array(), transform(sequence(0L, parts_down - 1), i -> struct(size - 1 as c, i as i, size as d, own as j))))""")
-    dealt = nodes.select("same", "root", "group", F.explode(cells).alias("cell")).select("same", "root", F.xxhash64("group", "cell").alias("cell"))
+    dealt = saved(nodes.select("id", "root", "group", F.explode(cells).alias("cell")).select("id", "root", F.xxhash64("group", "cell").alias("cell")), "dealt")
     # Cells of one component only have nothing to compare.
     some = dealt.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-    full = dealt.join(some, "cell").join(texts, "same")
-    return saved(full.groupBy("cell").applyInPandas(_crossed, "a binary, b binary"), "crossed")
+    full = saved(dealt.join(some, "cell"), "cells")
+    texts = texts_of(full.select("id"), base, reps)
+    return saved(full.join(texts, "id").groupBy("cell").applyInPandas(_crossed, "a long, b long"), "crossed")
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,41 +330,47 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, same) of each row, key being a digest of its text, and (same, root, least, rows) of each text by words."""
+    """(doc_id, key, same) of each row, key being a digest of its text, and (same, root, first, rows) of each text by
+    words, first being its row of least doc_id, null last, and least key."""
     spark = prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_key(text_col).alias("key"))
-    signed = saved(base.mapInPandas(_signed, "doc_id long, key binary, same binary, n long, bands array<long>"), "signed")
-    # Rows of one text agree in their bands, so max() keeps the bands of any of them.
-    reps = saved(signed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
-    entries = saved(reps.select("same", "n", F.posexplode("bands").alias("band", "key")), "entries")
-    # First each bucket compares with one document. The order of documents is one for all buckets, so those of a group
-    # of copies mostly have the same hub: a few pairs for each document, however large its buckets.
-    hubs = entries.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("same"), "same", "n")).alias("hub")).where("docs > 1")
-    met = saved(stars(entries, hubs).distinct(), "met")
-    texts = texts_of(met, base, reps)  # whoever meets anyone does so here
-    compared = met.where("fits").select("a", "b")
-    roots = components(verified(compared, texts))
+    signed = saved(base.mapInPandas(_signed, "doc_id long, key binary, same binary, n long, sketch binary, bands array<long>"), "signed")
+    # Rows of one text agree in their bands, so first() keeps the bands of any of them.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    reps = signed.groupBy("same").agg(first, F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    reps = saved(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    # First each bucket compares with one document, its least id. Ids have one order in all buckets, so those of a
+    # group of copies mostly have the same hub: a few pairs for each document, however large its buckets.
+    every = reps.select("id", "n", F.explode("bands").alias("key"))
+    hubs = every.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct("id", "n")).alias("hub")).where("docs > 1")
+    entries = saved(every.join(hubs, "key"), "entries")  # most buckets hold one document and end here
+    sketches = reps.select("id", "sketch")
+    compared = saved(stars(entries.drop("docs", "hub"), entries.select("key", "hub").distinct()).distinct(), "met")
+    close = alike(compared, sketches)
+    texts = texts_of(close.select(F.col("a").alias("id")).union(close.select("b")), base, reps)
+    roots = components(verified(close, texts))
     # Then only buckets with more than one component go on: small ones with all pairs between components, large ones
     # with a second hub.
-    rooted = entries.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    sizes = rooted.groupBy("key").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("same", "key"), "same", "n")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y"))
+    rooted = with_roots(entries.select("key", "id", "n", "docs"), roots)
+    sizes = rooted.groupBy("key").agg(F.first("docs").alias("docs"), F.min(F.struct(F.xxhash64("id", "key"), "id", "n")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y"))
     sizes = saved(sizes.where("x <> y").select("key", "docs", "hub"), "buckets")
-    small = rooted.join(sizes.where(F.col("docs") <= SMALL).select("key"), "key")
-    lists = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("same", "root", "n"))).alias("s")).select("s").distinct()  # lists of SMALL at most
-    pairs = lists.selectExpr("posexplode(s) as (i, a)", "s").selectExpr("a.same as a", f"explode(transform(filter(slice(s, i + 2, size(s)), y -> y.root <> a.root and {FITS.format("a.n", "y.n")}), y -> y.same)) as b")
-    large = saved(entries.join(sizes.where(F.col("docs") > SMALL).select("key", "hub"), "key"), "large")
-    pairs = pairs.union(stars(large.drop("hub"), sizes.where(F.col("docs") > SMALL).select("key", "hub")).where("fits").select("a", "b")).distinct()
-    pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    small = rooted.drop("docs").join(sizes.where(F.col("docs") <= SMALL).select("key"), "key")
+    lists = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "root", "n"))).alias("s")).select("s").distinct()  # lists of SMALL at most
+    pairs = lists.selectExpr("posexplode(s) as (i, a)", "s").selectExpr("a.id as a", f"explode(transform(filter(slice(s, i + 2, size(s)), y -> y.root <> a.root and {FITS.format("a.n", "y.n")}), y -> y.id)) as b")
+    large = saved(rooted.select("key", "id", "n").join(sizes.where(F.col("docs") > SMALL).select("key", "hub"), "key"), "large")
+    pairs = pairs.union(stars(large.drop("hub"), sizes.where(F.col("docs") > SMALL).select("key", "hub"))).distinct()
+    pairs = alike(pairs.join(compared, ["a", "b"], "left_anti"), sketches)
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    found = verified(saved(pairs, "pairs"), texts)
+    pairs = saved(pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), base, reps)
+    found = verified(pairs, texts)
     if not found.isEmpty():
         roots = joined(roots, found)
     # Large buckets still with more than one component compare all that is left, in blocks.
-    found = blocks(large.select("key", "same", "n"), roots, texts)
+    found = blocks(large.select("key", "id", "n"), roots, base, reps)
     if found is not None and not found.isEmpty():
         roots = joined(roots, found)
-    known = reps.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    known = with_roots(reps.select("id", "same", "first", "rows"), roots)
     return signed.select("doc_id", "key", "same"), known
 
 
@@ -362,21 +382,27 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of null ids only has a null class_id. An empty table gives no rows; other columns are ignored.
     """
     signed, known = _rooted(docs, id_col, text_col)
-    classes = known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    classes = known.groupBy("root").agg(F.min("first.doc_id").alias("class_id"), F.sum("rows").alias("class_size"))
     by_text = known.select("same", "root").join(classes, "root").select("same", "class_id", "class_size")
     return signed.select("doc_id", "same").join(by_text, "same").select("doc_id", "class_id", "class_size")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one with the class's least doc_id, null last; of texts under one id that
-    with the least digest. Classes are kept apart by id and text: each keeps a row, be its id null or repeated."""
+    with the least digest. Classes are kept apart by id and text: each keeps a row, be its id null or repeated.
+
+    Texts are shuffled once at most, to meet the keys of the rows that stay; of rows alike in id and text any stays.
+    """
     signed, known = _rooted(docs, "doc_id", "text")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    by_text = signed.groupBy("same").agg(first)  # a row for each text before the join, so that no group of copies is met
-    keep = by_text.join(known.select("same", "root"), "same").groupBy("root").agg(F.min("first").alias("first"))
+    keep = known.groupBy("root").agg(F.min("first").alias("first")).select("first")
+    times = signed.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
     keep = keep.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_text"))
-    kept = docs.withColumn("_key", text_key()).join(keep, (F.col("_key") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")))
-    return kept.dropDuplicates(["_keep", "_key"]).select(*docs.columns)
+    keep = saved(keep.join(times, (F.col("_text") == F.col("key")) & F.col("_keep").eqNullSafe(F.col("doc_id"))).select("_keep", "_text", "times"), "keep")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
+    on = (F.col("_key") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_keep"))
+    once = own.join(keep.where("times = 1"), on, "left_semi")
+    more = own.join(keep.where("times > 1"), on, "left_semi").dropDuplicates(["_id", "_key"])
+    return once.unionByName(more).select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
