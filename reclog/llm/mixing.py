@@ -49,6 +49,60 @@ def uniform(*cols: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """docs with _size, _key, a hash of the text, and _cls, the class of its size."""
+    sized = docs.withColumn("_size", F.regexp_count(text_of(), F.lit(WORD)).cast("long")).withColumn("_key", F.xxhash64("text"))
+    return sized.withColumn("_cls", F.when(F.col("_size") > 0, F.floor(F.log2("_size"))).otherwise(-1).cast("int"))
+
+
+def _placed(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """rows of _sized() with source_size, target, whole and rest of their source, rank _q and its cell _cell.
+
+    plan has a row for each source and size class, as few as the sources: adaptive execution broadcasts it where its
+    written size allows.
+    """
+    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_cls") == F.col("_pcls"))
+    u, p = uniform(F.col("doc_id"), F.col("_key"), seed=seed), F.coalesce(F.col("_p"), F.lit(0.0))
+    rows = rows.join(plan, on, "left").withColumn("_q", F.when(p >= 1, 0.0).when(p > 0, u / (1 - u) * (1 - p) / p))
+    return rows.withColumn("_cell", F.when(F.col("_q").isNotNull() & (F.col("_rest") > 0), F.floor(F.col("_q") / (1 + F.col("_q")) * CELLS).cast("int"))).drop("_source", "_pcls", "_p", "_cls")
+
+
+def _plan(base: DataFrame, share: float, most: float, weights: tuple) -> DataFrame:
+    """_source, _pcls -> _source_size, _target, _whole copies, _rest in words, and the inclusion probability _p."""
+    classes = base.groupBy("source", "_cls").agg(F.sum("_size").alias("cap"))
+    sources = targets(classes.groupBy("source").agg(F.sum("cap").alias("source_size")), share, most, weights)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = sources.withColumn("_whole", F.floor(ratio + 1e-9).cast("long")).withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+    sources = sources.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_rest")
+    every = classes.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("source").withColumn("cap", F.col("cap").cast("double"))
+    some = every.where("_cls >= 0").withColumn("_w", F.col("cap") * F.pow(F.lit(2.0), F.col("_cls") * -TEMPER))
+    some = filled(some, ["_source"], "_rest", "cap", "_w", "_in").withColumn("_p", F.col("_in") / F.col("cap")).drop("_in", "_w")
+    return saved(some.unionByName(every.where("_cls < 0").withColumn("_p", F.lit(0.0))).withColumnRenamed("_cls", "_pcls").drop("cap"), "plan")
+
+
+def _cuts(rows: DataFrame) -> DataFrame:
+    """_csource -> the cell at its source's cut, and the words of the cells before it."""
+    cells = rows.where("_cell is not null").groupBy("source", "_cell", "_rest").agg(F.sum("_size").alias("n"))
+    cells = cells.withColumn("_before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return saved(cells.where("_before < _rest").groupBy(F.col("source").alias("_csource")).agg(F.max("_cell").alias("_cut"), F.max("_before").alias("_before")), "cuts")
+
+
+def _taken(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """rows with _copies. Only the rows of the cells at the cuts are ordered."""
+    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("_csource")), "left").drop("_csource")
+    sure = rows.where("_cell is null or _cut is null or _cell <> _cut").withColumn("_extra", F.coalesce(F.col("_cell") < F.col("_cut"), F.lit(False)))
+    run = F.coalesce(F.sum("_size").over(W.partitionBy("source").orderBy("_q", "doc_id", "_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edge = rows.where("_cell = _cut").withColumn("_extra", F.col("_before") + run + F.col("_size") / 2 <= F.col("_rest"))
+    return sure.unionByName(edge).withColumn("_copies", F.col("_whole") + F.col("_extra").cast("long"))
+
+
+def _sample(docs: DataFrame, share: float, most: float, weights: tuple, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    base = saved(_sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
+    plan = _plan(base, share, most, weights)
+    rows = _placed(base, plan, seed)
+    return rows, plan, _cuts(rows)
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, key (the row's hash).
 
@@ -56,43 +110,22 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple =
     Rows alike in doc_id, source and text tie; which of them enters makes no difference. Reruns agree: all
     randomness is a hash of doc_id and text. An empty table gives no rows; other columns are ignored.
     """
-    base = docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("key"))
-    base = saved(base.withColumn("cls", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int")), "sized")
-    classes = base.groupBy("source", "cls").agg(F.sum("size").alias("cls_size"))
-    sources = targets(classes.groupBy("source").agg(F.sum("cls_size").alias("source_size")), share, most, weights)
-    sources = sources.withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    sources = sources.withColumn("whole", F.floor(F.col("_ratio") + 1e-9).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).drop("_ratio")
-    c, s = classes.alias("c"), sources.alias("s")
-    plan = c.where("cls >= 0").join(s, F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.source", "cls", F.col("cls_size").cast("double").alias("cap"), "rest")
-    plan = plan.withColumn("_w", F.col("cap") * F.pow(F.lit(2.0), F.col("cls") * -TEMPER))
-    plan = filled(plan, ["source"], "rest", "cap", "_w", "_in").select(F.col("source").alias("p_source"), F.col("cls").alias("p_cls"), (F.col("_in") / F.col("cap")).alias("p"))
-    plan, sources = saved(plan, "inclusion"), saved(sources.withColumnRenamed("source", "s_source"), "targets")
-    rows = base.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("cls") == F.col("p_cls")), "left")
-    u, p = uniform(F.col("doc_id"), F.col("key"), seed=seed), F.coalesce(F.col("p"), F.lit(0.0))
-    q = F.when(p >= 1, 0.0).when(p > 0, u / (1 - u) * (1 - p) / p)
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "whole", "rest", "key", q.alias("q"))
-    rows = saved(rows.withColumn("cell", F.when(F.col("q").isNotNull() & (F.col("rest") > 0), F.floor(F.col("q") / (1 + F.col("q")) * CELLS).cast("int"))), "order")
-    cells = rows.where("cell is not null").groupBy("source", "cell", "rest").agg(F.sum("size").alias("n"))
-    cells = cells.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)))
-    cuts = cells.withColumn("before", F.coalesce("before", F.lit(0))).where("before < rest").groupBy(F.col("source").alias("c_source")).agg(F.max("cell").alias("cut"), F.max("before").alias("before"))
-    cuts = saved(cuts, "cuts")
-    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
-    sure = rows.where("cell is null or cut is null or cell <> cut").withColumn("extra", F.coalesce(F.col("cell") < F.col("cut"), F.lit(False)))
-    run = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("q", "doc_id", "key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    edge = rows.where("cell = cut").withColumn("extra", F.col("before") + run + F.col("size") / 2 <= F.col("rest"))
-    both = sure.unionByName(edge)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra").cast("long")).alias("copies"), "key")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it has copies, with the columns of docs."""
-    copies = mix(docs, **options).where("copies > 0").select("doc_id", F.col("source").alias("_s"), "key", "copies")
-    # Rows alike in all three share the group's copies: pre-aggregated, so the join repeats none of them.
-    copies = copies.groupBy("doc_id", "_s", "key").agg(F.sum("copies").alias("_c"))
-    own = docs.withColumn("_k", F.xxhash64("text")).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c._s")) & (F.col("d._k") == F.col("c.key"))
-    alike = own.dropDuplicates(["doc_id", "source", "_k"]).alias("d")
-    return alike.join(copies.alias("c"), on).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select(*[F.col(f"d.`{x}`") for x in docs.columns])
+    rows, _, cuts = _sample(docs, share, most, weights, seed)
+    return _taken(rows, cuts).select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), F.col("_key").alias("key"))
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 17) -> DataFrame:
+    """The mix itself: each document as many times as it has copies, with the columns of docs.
+
+    Copies are decided where a document is read, from the tables of plan and cuts; of the texts only those of the
+    cells at the cuts, a 4096th of a source's order, are shuffled. Columns of docs keep their names and values,
+    whatever they are.
+    """
+    _, plan, cuts = _sample(docs, share, most, weights, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = _sized(docs.select("doc_id", "source", "text", row)).drop("text")
+    taken = _taken(_placed(own, plan, seed), cuts).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
