@@ -10,6 +10,7 @@ at least three stand unchanged in any window within k edits, at most k places ou
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import prepare, text_key, text_of
+from ._store import prepare, text_of
 
 
 class _Plain(dict):
@@ -33,8 +34,8 @@ PLAIN = _Plain()
 PIECES = 3
 #: Edits allowed, as a share of the item's length.
 EDITS = 0.1
-#: LSH: walks, tables for each walk, coordinates of a key. A key agrees with probability (1 - h)^6 at Hamming share h.
-WALKS, TABLES, COORDS = 4, 24, 6
+#: LSH: walks, tables for each walk, coordinates of a key. A key agrees with probability (1 - h)^4 at Hamming share h.
+WALKS, TABLES, COORDS = 6, 32, 4
 #: Characters of benchmark texts that one pass takes to every executor; a larger benchmark takes more passes.
 PASS_CHARS = 8_000_000
 SEED = 20240229
@@ -208,42 +209,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     allowed. Null and empty texts and items hold nothing and are held nowhere. A document's rows for one item are one,
     at the nearest place, the first of ties; repeated documents repeat their rows. Other columns are ignored.
     """
-    return _hits(docs, benchmark).drop("key")
-
-
-def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """contaminated() with the digest of each row's text as key."""
-    spark = prepare(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text <> ''")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-total // PASS_CHARS))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), text_key().alias("key"))
-    out = None
-    for k in range(passes):  # one pass for a benchmark of usual size
-        part = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toLocalIterator()]
-        held = spark.sparkContext.broadcast(part)
+    base, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), None
+    for held in _passes(prepare(docs.sparkSession), benchmark):
 
         def found(batches, held=held):
             finder = Finder(held.value)
             for pdf in batches:
                 rows = finder.find(list(pdf["text"]))
-                ids, keys = pdf["doc_id"].to_numpy(), pdf["key"].to_numpy()
+                ids = pdf["doc_id"].to_numpy()
                 best = {}
                 for r, i, d, s, e in rows:
                     if (r, i) not in best or (d, e) < (best[r, i][0], best[r, i][2]):
                         best[r, i] = (d, s, e)
-                yield pd.DataFrame([(keys[r], ids[r], i, *x) for (r, i), x in best.items()], columns=["key", "doc_id", "item_id", "distance", "start_char", "end_char"])
+                yield pd.DataFrame([(ids[r], i, *x) for (r, i), x in best.items()], columns=["doc_id", "item_id", "distance", "start_char", "end_char"])
 
-        hits = base.mapInPandas(found, "key binary, doc_id long, item_id long, distance int, start_char long, end_char long")
+        hits = base.mapInPandas(found, "doc_id long, item_id long, distance int, start_char long, end_char long")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame) -> list:
+    """The items, as broadcasts of a bounded size; one for a benchmark of usual size."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("text <> ''")
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    passes = max(1, -(-total // PASS_CHARS))
+    part = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toLocalIterator()
+    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part(k)]) for k in range(passes)]
+
+
+def _clean(held):
+    """A column function: whether a text holds none of the items."""
+
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Finder(held.value)
+        for texts in batches:
+            bad = {r for r, *_ in finder.find(list(texts))}
+            yield pd.Series([r not in bad for r in range(len(texts))])
+
+    return F.pandas_udf(clean, "boolean")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds an item; other texts under the same id, or without one, stay."""
-    bad = _hits(docs, benchmark).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_text")).distinct()
-    left = docs.withColumn("_key", text_key())
-    return left.join(bad, (F.col("_key") == F.col("_text")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    """docs without the rows whose text holds an item. Each row is decided where it is read, by its own text only, so
+    null and repeated ids make no difference and nothing is shuffled; null and empty texts stay."""
+    left = docs
+    for held in _passes(prepare(docs.sparkSession), benchmark):
+        left = left.where(_clean(held)(text_of()))
+    return left
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
