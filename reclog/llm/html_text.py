@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from ._store import prepare, text_of
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 # Fixed values of HTML: elements without content, elements whose content isn't text of the page, inline elements.
@@ -32,12 +33,87 @@ P_ENDS = frozenset("address article aside blockquote center details dialog dir d
 #: What speaks against content, by element and by words of class, id and role; and what speaks for it.
 AGAINST = {"nav": 9.0, "footer": 9.0, "aside": 9.0, "form": 9.0, "menu": 9.0, "dialog": 9.0, "button": 9.0, "header": 6.0, "fieldset": 9.0, "address": 2.0}
 NOISE = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside rail footer foot header masthead banner topbar cookie cookies consent gdpr notice notices alert ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget pagination pager copyright skip toolbar tags search contentinfo complementary dialog form".split())
+#: Words that name a part of a layout: they leave the meaning of a name to the words beside them.
+LAYOUT = frozenset("area banner bar block body bottom box col column container content footer group header holder inner item items left list main menu outer page panel region right row section site slot top unit wrap wrapper".split())
 GOOD_TAGS = {"article": 4.0, "main": 3.0}
 GOOD = frozenset("article content main post entry story body text maincontent articlebody".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+OWN_PARENT = frozenset("p li td th pre blockquote dt dd".split()) | HEADING
 NAME = re.compile(r"[a-z]+")
 END = re.compile(r"[.!?…。:;][\"'”»)]*$")
+HIDDEN = re.compile(r"display\s*:\s*none")
+#: Cost against a name made of NOISE words only; other words share it.
+NOISY = 8.0
 
-NEXT_TO, SAME_PARENT = 0.4, 0.8
+#: Smoothness: what it costs to label two neighbours, or two blocks of one parent, differently.
+NEXT_TO, SAME_PARENT = 0.6, 1.0
+
+
+def noise(name: str) -> float:
+    """Share of the words of one class, id or role that name boilerplate; LAYOUT words don't count beside others.
+
+    A name with a word for content, such as article-header, names a part of the content.
+    """
+    every = NAME.findall(name)
+    against = [w for w in every if w in NOISE]
+    if not against or any(w in GOOD and w not in LAYOUT or w == "article" for w in every):
+        return 0.0
+    return len(against) / (len(against) + sum(1 for w in every if w not in NOISE and w not in LAYOUT))
+
+
+def tokens(page: str):
+    """(start, end, tag, closing, attributes) of each piece of markup; tag is '' for comments and declarations.
+
+    One pass: a search that finds nothing is not made again, so unclosed comments and quotes cost no more than once.
+    """
+    n, at, gone = len(page), 0, set()
+
+    def find(what: str, start: int) -> int:
+        if what in gone:
+            return -1
+        k = page.find(what, start)
+        if k < 0:
+            gone.add(what)
+        return k
+
+    while True:
+        s = page.find("<", at)
+        if s < 0:
+            return
+        if page.startswith("<!--", s):
+            e = find("-->", s + 4)
+            at = n if e < 0 else e + 3
+            yield s, at, "", False, ""
+            continue
+        if page.startswith("<![CDATA[", s):
+            e = find("]]>", s + 9)
+            at = n if e < 0 else e + 3
+            yield s, at, "", False, page[s + 9 : at if e < 0 else e]
+            continue
+        if page[s + 1 : s + 2] in ("!", "?"):
+            e = find(">", s)
+            if e < 0:
+                return
+            at = e + 1
+            yield s, at, "", False, ""
+            continue
+        m = NAME_OF_TAG.match(page, s + 1)
+        if not m:
+            at = s + 1
+            continue
+        e = m.end()
+        while True:
+            stop = STOP.search(page, e) if ">" not in gone else None
+            if stop is None:
+                return  # no further markup can end
+            if stop[0] == ">":
+                break
+            close = find(stop[0], stop.end())
+            e = stop.end() if close < 0 else close + 1
+            if find(">", e) < 0:
+                return
+        at = stop.end()
+        at = (yield s, at, m[2].lower(), bool(m[1]), page[m.end() : stop.start()]) or at
 
 
 def blocks(page: str) -> list[tuple[str, int, float, float, str]]:
@@ -45,7 +121,8 @@ def blocks(page: str) -> list[tuple[str, int, float, float, str]]:
     out: list = []
     stack: list[tuple[str, int, float, float]] = [("", 0, 0.0, 0.0)]
     parts: list[str] = []
-    links, deep, at, ids, n = 0, 0, 0, 0, len(page)
+    opened: dict[str, int] = {}  # open elements by tag, so that no search for one goes through the stack in vain
+    links, at, ids, headless = 0, 0, 0, False
     quiet = [0]
 
     def close() -> None:
@@ -57,9 +134,9 @@ def blocks(page: str) -> list[tuple[str, int, float, float, str]]:
                 while k and stack[k][0] in INLINE:
                     k -= 1
                 tag, me, good, bad = stack[k]
-                over = stack[k - 1][1] if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "pre", "blockquote", "dt", "dd") and k else me
+                over = stack[k - 1][1] if tag in OWN_PARENT and k else me
                 share = min(1.0, links / len(text))
-                good += 0.6 + min(1.6, len(text) / 120) + (0.8 if END.search(text) else 0) + (0.8 if tag in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0)
+                good += 0.6 + min(1.6, len(text) / 120) + (0.8 if END.search(text[-20:]) else 0) + (0.8 if tag in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0)
                 bad += 0.9 + 3.0 * share + (0.6 if len(text) < 25 else 0)
                 if not quiet[-1]:
                     out.append((text, over, good, bad, tag))
@@ -71,50 +148,51 @@ def blocks(page: str) -> list[tuple[str, int, float, float, str]]:
         if raw:
             s = html.unescape(raw) if "&" in raw else raw
             parts.append(s)
-            if deep:
+            if opened.get("a"):
                 links += len(s.strip())
 
     def pop_to(k: int) -> None:
-        nonlocal deep
         while len(stack) > k:
-            tag = stack.pop()[0]
+            opened[stack.pop()[0]] -= 1
             quiet.pop()
-            if tag == "a":
-                deep -= 1
 
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            put(page[at:])
+    markup = tokens(page)
+    jump = None
+    while True:
+        try:
+            start, end, tag, closing, attrs = markup.send(jump)
+        except StopIteration:
             break
-        put(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+        jump = None
+        put(page[at:start])
+        at = end
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:].removesuffix("]]>"))
+            parts.append(attrs)  # the text of a CDATA section; nothing of a comment
             continue
         if tag not in INLINE:
             close()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if closing:
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        pop_to(k)
+                        break
+                    if tag in INLINE and stack[k][0] not in INLINE:
+                        break
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
+            if not attrs.endswith("/") and not (tag == "head" and headless):
                 low = re.compile(rf"</{re.escape(tag)}[\s/>]" + ("|<body[\\s>]" if tag == "head" else ""), re.I).search(page, at)
-                at = low.start() if low else (n if tag != "head" else at)
+                headless = headless or (tag == "head" and not low)
+                at = jump = low.start() if low else (len(page) if tag != "head" else at)
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or attrs.endswith("/"):
             continue
         ends = CLOSED_BY.get(tag, frozenset()) | (frozenset(["p"]) if tag in P_ENDS else frozenset())
-        if ends:
+        if any(opened.get(e) for e in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ends:
                     pop_to(k)
@@ -127,22 +205,21 @@ def blocks(page: str) -> list[tuple[str, int, float, float, str]]:
             ids += 1
             me = ids
             good, bad = good + GOOD_TAGS.get(tag, 0.0), bad + AGAINST.get(tag, 0.0)
-            if tag == "header" and any(x[0] in ("article", "main") for x in stack):
+            if tag == "header" and (opened.get("article") or opened.get("main")):
                 bad -= 4.5
-            if "=" in m[3] or "hidden" in m[3]:
-                for a in ATTR.finditer(m[3]):
+            if "=" in attrs or "hidden" in attrs:
+                for a in ATTR.finditer(attrs):
                     key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
                     if key in ("class", "id", "role"):
-                        names = set(NAME.findall(value))
-                        if tag not in ("html", "body"):
-                            bad += 8.0 * bool(names & NOISE)
-                        good += 1.5 * bool(names & GOOD)
-                    elif key == "hidden" or value == "true" and key == "aria-hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
+                        if tag not in HEADING and tag not in ("html", "body"):  # a heading's id is the name of a place
+                            bad += NOISY * max((noise(x) for x in value.split()), default=0.0)
+                        good += 1.5 * any(w in GOOD for w in NAME.findall(value))
+                    elif key == "hidden" or value == "true" and key == "aria-hidden" or key == "style" and HIDDEN.search(value):
                         hidden = 1
         stack.append((tag, me, good, bad))
         quiet.append(hidden)
-        if tag == "a":
-            deep += 1
+        opened[tag] = opened.get(tag, 0) + 1
+    put(page[at:])
     close()
     return out
 

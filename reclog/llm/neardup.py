@@ -287,7 +287,7 @@ def with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return entries.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
-def blocks(entries: DataFrame, roots: DataFrame, base: DataFrame, reps: DataFrame) -> DataFrame | None:
+def blocks(entries: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links of the documents of buckets with more than one component, all pairs compared; None if no bucket is left.
 
     Buckets that share documents are one group, so that no pair is compared once a bucket. A group's documents are
@@ -314,9 +314,7 @@ def blocks(entries: DataFrame, roots: DataFrame, base: DataFrame, reps: DataFram
     dealt = saved(nodes.select("id", "root", "group", F.explode(cells).alias("cell")).select("id", "root", F.xxhash64("group", "cell").alias("cell")), "dealt")
     # Cells of one component only have nothing to compare.
     some = dealt.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-    full = saved(dealt.join(some, "cell"), "cells")
-    texts = texts_of(full.select("id"), base, reps)
-    return saved(full.join(texts, "id").groupBy("cell").applyInPandas(_crossed, "a long, b long"), "crossed")
+    return saved(dealt.join(some, "cell").join(texts, "id").groupBy("cell").applyInPandas(_crossed, "a long, b long"), "crossed")
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -346,8 +344,8 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     entries = saved(every.join(hubs, "key"), "entries")  # most buckets hold one document and end here
     sketches = reps.select("id", "sketch")
     compared = saved(stars(entries.drop("docs", "hub"), entries.select("key", "hub").distinct()).distinct(), "met")
+    texts = texts_of(entries.select("id"), base, reps)  # whoever meets anyone does so in these buckets
     close = alike(compared, sketches)
-    texts = texts_of(close.select(F.col("a").alias("id")).union(close.select("b")), base, reps)
     roots = components(verified(close, texts))
     # Then only buckets with more than one component go on: small ones with all pairs between components, large ones
     # with a second hub.
@@ -362,12 +360,11 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     pairs = alike(pairs.join(compared, ["a", "b"], "left_anti"), sketches)
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     pairs = saved(pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "pairs")
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), base, reps)
     found = verified(pairs, texts)
     if not found.isEmpty():
         roots = joined(roots, found)
     # Large buckets still with more than one component compare all that is left, in blocks.
-    found = blocks(large.select("key", "id", "n"), roots, base, reps)
+    found = blocks(large.select("key", "id", "n"), roots, texts)
     if found is not None and not found.isEmpty():
         roots = joined(roots, found)
     known = with_roots(reps.select("id", "same", "first", "rows"), roots)

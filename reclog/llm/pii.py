@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +19,31 @@ from pyspark.sql import types as T
 
 from ._store import prepare, text_of
 
-KEY = b"surrogates-1"
+#: The session's setting for the key of op4_pii_surrogates, and the key of a session without it: for tests only, as
+#: whoever knows the key can turn surrogates back.
+KEY_CONF, TEST_KEY = "spark.reclog.surrogates.key", "surrogates-1"
 
 # Given names by gender, and titles that name a gender.
-FEMALE = "Anna Maria Julia Laura Sarah Emma Sophie Claire Elena Lucia Carmen Isabel Marie Camille Katharina Ingrid Alice Mary Linda Susan Karen Nancy Lisa Emily Olivia Hannah".split()
-MALE = "John James Robert Michael William David Thomas Peter Paul Hans Klaus Stefan Jean Pierre Luc Antoine Carlos Juan Miguel Pedro Daniel Mark Steven Andrew Lukas Felix".split()
+FEMALE = "Anna Maria Julia Laura Sarah Emma Sophie Claire Elena Lucia Carmen Isabel Marie Camille Katharina Ingrid Alice Mary Linda Susan Karen Nancy Lisa Emily Olivia Hannah Giulia Francesca Chiara Paola Ольга Анна Мария Елена Наталья Ирина Татьяна Светлана".split()
+MALE = "John James Robert Michael William David Thomas Peter Paul Hans Klaus Stefan Jean Pierre Luc Antoine Carlos Juan Miguel Pedro Daniel Mark Steven Andrew Lukas Felix Giovanni Marco Luigi Matteo Иван Сергей Алексей Дмитрий Андрей Николай Владимир Михаил".split()
 TITLES = {"Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n"}
 
 CAP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][\w'’-]+"
+# An address is looked for around each @, within the lengths that mail allows: 64 characters before it, 255 after it.
+LOCAL, DOMAIN = re.compile(r"[\w.+-]{0,63}\w\Z"), re.compile(r"\w[\w-]{0,62}(?:\.\w[\w-]{0,62})+")
 # In order: of matches that begin together, the first kind wins.
-EMAIL = r"(?P<email>[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+)"
 # The look-ahead holds wherever one of the others can begin, and spares most places of a text the attempts.
-OTHERS = rf"""(?=[A-Za-f\d+(])(?:(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,4}})?\b)
+OTHERS = rf"""(?=[A-Za-f\d+(А-Я])(?:(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,4}})?\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
     |(?P<ip6>(?<![\w:])(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}(?![\w:]))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
     |(?P<card>(?<![\w.+-])\d(?:[ -]?\d){{12,18}}(?![\w-]))
     |(?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .-]?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?![\w-]))
     |(?P<title>\b(?:{'|'.join(TITLES)})\b\.?[ ])(?P<named>{CAP}(?:[ ]{CAP})?)
-    |\b(?P<given>{'|'.join(FEMALE + MALE)})\b(?P<rest>(?:[ ]{CAP})?))"""
-ENTITY, WITHOUT_EMAIL = re.compile(f"{EMAIL}|{OTHERS}", re.X), re.compile(OTHERS, re.X)
+    |\b(?P<given>{'|'.join(x for n in FEMALE + MALE for x in (n, n.upper()))})\b(?P<rest>(?:[ ]{CAP})?))"""
+ENTITY, CAPPED = re.compile(OTHERS, re.X), re.compile(rf"\b{CAP}")
+# The calling codes of one and of two digits; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Letters keep their class: vowels and consonants of Latin, accented vowels, Cyrillic and Greek, digits.
@@ -99,7 +105,8 @@ def _range(a: int) -> int:
     return 1 if o == 10 or a >> 20 == 0xAC1 or a >> 16 == 0xC0A8 else 2 if o == 127 else 3 if o == 0 or o >= 224 else 0
 
 
-def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
+@lru_cache(maxsize=100_000)
+def surrogate(kind: str, value: str, key: bytes) -> str:
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
@@ -122,40 +129,91 @@ def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
         new = iter(body + str(last))
         return "".join(next(new) if c.isdecimal() else c for c in value)
     if kind == "phone":
-        code = re.match(r"\+(\d{1,3}?)(?=[ .(-]|\d{7})", value)
-        return digits(value, "phone", key, len(code[1]) if code else 0)
+        if not value.startswith("+"):
+            return digits(value, "phone", key)
+        d = "".join(c for c in value if c.isdecimal())  # the code follows from the digits, however they are written
+        return digits(value, "phone+", key, next((k for k in (1, 2) if d[:k] in CODES), 3))
     if kind == "ssn":
         return digits(value, "ssn", key)
     if kind == "iban":
         return value[:2] + same_format(value[2:], "iban", key)
-    if kind in ("name_f", "name_m"):
-        pool = FEMALE if kind == "name_f" else MALE
-        if value in pool:
-            return pool[permuted(pool.index(value), len(pool), kind, key)]
-    return same_format(value, "name", key)
+    # Names: one surrogate for all ways to write the case, which is then written the same way.
+    plain = value.capitalize()
+    pool = {"name_f": FEMALE, "name_m": MALE}.get(kind, [])
+    if plain in pool:
+        same = [x for x in pool if script(x) == script(plain)]
+        new = same[permuted(same.index(plain), len(same), kind + script(plain), key)]
+    else:
+        new = same_format(plain, "name", key)
+    return new.upper() if value.isupper() and len(value) > 1 else new if value == plain or plain in pool else same_format(value, "name", key)
+
+
+def script(name: str) -> str:
+    return "cyrillic" if "а" <= name[-1] <= "я" else "latin"
+
+
+def identity(kind: str, value: str) -> str:
+    """What an entity or a surrogate stands for, without the ways to write it."""
+    if kind in ("card", "phone", "ssn"):
+        return ("+" if value.startswith("+") else "") + re.sub(r"\D", "", value)
+    if "name" in kind or kind in ("email", "iban", "ip6"):
+        return value.casefold()
+    return value
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Places of mail addresses, found outwards from each @: time is linear, whatever stands around it."""
+    out, at, last = [], text.find("@"), 0
+    while at >= 0:
+        before, after = LOCAL.search(text[max(last, at - 64) : at]), DOMAIN.match(text, at + 1, min(len(text), at + 256))
+        if before and after:
+            last = after.end()
+            out.append((at - len(before[0]), last))
+        at = text.find("@", max(at + 1, last))
+    return out
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value), in order and without overlaps. A name is one entity for each of its words."""
+def _named(m: re.Match) -> list[tuple[int, int, str, str]]:
+    """Entities of a name, one for each of its words."""
+    if m["named"] is not None:
+        gender, words, at = TITLES[m["title"].strip(" .")], m["named"].split(" "), m.start("named")
+    else:
+        words, at = [m["given"], *m["rest"].split()], m.start("given")
+        gender = "f" if m["given"].capitalize() in FEMALE else "m"
     out = []
-    for m in (ENTITY if "@" in text else WITHOUT_EMAIL).finditer(text):
+    for i, w in enumerate(words):
+        own = w.capitalize()
+        kind = own in FEMALE and "name_f" or own in MALE and "name_m" or (f"name_{gender}" if i == 0 and len(words) > 1 else "surname")
+        out.append((at, at + len(w), kind, w))
+        at += len(w) + 1
+    return out
+
+
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, value), in order and without overlaps. A name is one entity for each of its words; once a
+    text names someone, further mentions of these words alone, in the same or in upper case, are entities too."""
+    found = [(s, e, "email", text[s:e]) for s, e in emails(text)]
+    for m in ENTITY.finditer(text):
         kind = m.lastgroup
-        if kind in ("named", "rest", "given"):
-            if m["named"] is not None:
-                gender, words, at = TITLES[m["title"].strip(" .")], m["named"].split(" "), m.start("named")
-            else:
-                words, at = [m["given"], *m["rest"].split()], m.start("given")
-                gender = "f" if words[0] in FEMALE else "m"
-            for i, w in enumerate(words):
-                first = w in FEMALE and "name_f" or w in MALE and "name_m" or (f"name_{gender}" if i == 0 and len(words) > 1 else "surname")
-                out.append((at, at + len(w), first, w))
-                at += len(w) + 1
-        else:
-            out.append((m.start(kind), m.end(kind), kind, m[kind]))
+        found += _named(m) if kind in ("named", "rest", "given") else [(m.start(kind), m.end(kind), kind, m[kind])]
+    out = _apart(found)
+    names = {v.capitalize(): k for _, _, k, v in out if "name" in k}
+    if names:
+        out = _apart(out + [(m.start(), m.end(), names[m[0].capitalize()], m[0]) for m in CAPPED.finditer(text) if m[0].capitalize() in names])
+    return out
+
+
+def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Without overlaps: the earlier stays, of those that begin together the mail address, then the longer."""
+    out, at = [], 0
+    for x in sorted(found, key=lambda x: (x[0], x[2] != "email", -x[1])):
+        if x[0] >= at:
+            out.append(x)
+            at = x[1]
     return out
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     found, parts, at = entities(text), [], 0
     for s, e, kind, value in found:
         parts += [text[at:s], surrogate(kind, value, key)]
@@ -163,20 +221,20 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str
     return "".join(parts) + text[at:], found
 
 
-def collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """Surrogates that stand for more than one entity of the corpus: kind, surrogate, n. There should be none."""
+def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """Surrogates as they are written that stand for more than one entity of the corpus: kind, surrogate, n. There
+    should be none."""
 
     def each(batches):
         for pdf in batches:
-            rows = {(k, v.casefold()) for t in pdf["t"] for _, _, k, v in entities(t)}
-            same = {(k, re.sub(r"\D", "", v) if k in ("card", "phone", "ssn") else v) for k, v in rows}
-            yield pd.DataFrame([(k, v, surrogate(k, v.title() if "name" in k else v, key).casefold()) for k, v in sorted(same)], columns=["kind", "value", "surrogate"])
+            rows = {(k, v) for t in pdf["t"] for _, _, k, v in entities(t)}
+            yield pd.DataFrame(sorted({(k, identity(k, v), identity(k, surrogate(k, v, key))) for k, v in rows}), columns=["kind", "value", "surrogate"])
 
     found = docs.select(text_of(text_col).alias("t")).mapInPandas(each, "kind string, value string, surrogate string").distinct()
     return found.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """docs with surrogates in the text, and entities: an array of start, end, kind in the old text.
 
     Null text stays null and has no entities. Equal entities get equal surrogates everywhere; repeated rows stay alike.
@@ -193,11 +251,13 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text_col: str = "text") ->
         done = [(None, []) if t is None else replaced(t, key) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in done], "entities": [[{"start": s, "end": e, "kind": k} for s, e, k, _ in x] for _, x in done]})
 
-    both = docs.withColumn("_new", write(F.col(text_col)))
-    return both.withColumn(text_col, F.col("_new.text")).withColumn("entities", F.col("_new.entities")).drop("_new")
+    kept = [F.col("new.text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns if c != "entities"]
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), write(F.col(text_col)).alias("new"))
+    return both.select(*kept, F.col("new.entities"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    key = spark.conf.get(KEY_CONF, TEST_KEY).encode()
+    done = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
     spans = F.array_join(F.transform("entities", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return done.select("doc_id", "text", F.size("entities").alias("n_entities"), spans.alias("spans"))

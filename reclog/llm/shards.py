@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,23 +50,31 @@ def _curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index(np.stack([a.to_numpy(), b.to_numpy(), c.to_numpy()]), BITS))
 
 
+def coded(values: DataFrame, name: str) -> DataFrame:
+    """_name -> code: the value's place in the order of all rows, in 2^BITS parts, null first; so that each part of a
+    dimension's range holds as many rows as any other. values has one row for each distinct value, with its rows n."""
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.col(name).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    middle = (before + F.col("n") / 2) / F.sum("n").over(W.partitionBy(F.lit(1)))
+    return saved(values.select(F.col(name).alias(f"_{name}"), F.floor(middle * (1 << BITS)).cast("int").alias(f"code_{name}")), f"codes-{name}")
+
+
 def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve.
 
     The law is `rows`: shards are runs of the curve with row counts at most one apart; grown_shard is null.
-    Dimensions are source, lang (each by a hash, null as its own value) and the size class. Equal texts take the
-    dimensions of the least of their rows, so a group of equal texts lies together on the curve, at most cut by
-    a shard's end; ties go by text digest, doc_id, source and lang. Null text is empty: size 8. With fewer rows than
-    shards the last shards are empty; an empty table gives no rows. Other columns are ignored.
+    Dimensions are source, lang (null as its own value) and the size class, each coded in order and by its share of
+    the rows. Equal texts take the dimensions of the least of their rows, so a group of equal texts lies together on
+    the curve, at most cut by a shard's end; ties go by text digest, doc_id, source and lang. Null text is empty: size
+    8. With fewer rows than shards the last shards are empty; an empty table gives no rows. Other columns are ignored.
     """
     prepare(docs.sparkSession)
     raw = F.encode(text_of(), "utf-8")
     base = docs.select("doc_id", "source", "lang", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.md5(raw)).alias("digest"))
-    base = saved(base, "sharding")
-    first = base.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang")).alias("m"))
-    code = lambda c: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.crc32(F.col(c)), F.lit((1 << BITS) - 1))).cast("int")
-    size = F.least(F.floor(F.log2("size") * 2).cast("int"), F.lit((1 << BITS) - 1))
-    rows = base.join(first, "digest").withColumn("curve", _curve(code("m.source"), code("m.lang"), size)).drop("m")
+    base = saved(base.withColumn("class", F.floor(F.log2("size") * 4).cast("int")), "sharding")
+    rows = base.join(base.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang")).alias("m")), "digest").select(*base.columns, F.col("m.source").alias("s"), F.col("m.lang").alias("l"))
+    for own, name in (("s", "source"), ("l", "lang"), ("class", "class")):
+        rows = rows.join(coded(base.groupBy(name).agg(F.count("*").alias("n")), name), F.col(own).eqNullSafe(F.col(f"_{name}"))).drop(f"_{name}")
+    rows = rows.withColumn("curve", _curve("code_source", "code_lang", "code_class")).select(*base.columns, "curve")
     rows = global_rank(rows, ["curve", "digest", "doc_id", "source", "lang"])
     total = rows.agg(F.count("*").alias("_all"))  # one row
     rows = rows.join(F.broadcast(total))
