@@ -22,10 +22,14 @@ def canonical(headers: Column) -> Column:
     return F.array_sort(F.map_entries(headers))
 
 
+def le64(n: Column) -> Column:
+    """A number as eight little-endian bytes."""
+    return F.unhex(F.regexp_replace(F.lpad(F.hex(n.cast("long")), 16, "0"), "^(..)(..)(..)(..)(..)(..)(..)(..)$", "$8$7$6$5$4$3$2$1"))
+
+
 def counted(value: Column) -> Column:
     """A value after its length as eight little-endian bytes."""
-    big = F.lpad(F.hex(F.octet_length(value).cast("long")), 16, "0")
-    return F.concat(F.unhex(F.concat(*[F.substring(big, k, 2) for k in range(15, 0, -2)])), value.cast("binary"))
+    return F.concat(le64(F.octet_length(value)), value.cast("binary"))
 
 
 def request_hash(namespace: Column, stream: Column, expected: Column, request_id: Column, records: Column) -> Column:

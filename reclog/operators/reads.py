@@ -84,3 +84,28 @@ def gaps(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy("stream").orderBy("_chunk")))
     before = F.coalesce(F.lag("sequence").over(W.partitionBy("stream", "_chunk").orderBy("sequence")), F.col("_end"))
     return own.join(ends, ["stream", "_chunk"]).withColumn("_p", before).where("sequence <> _p + 1").select("stream", "sequence")
+
+
+def answers(requests: DataFrame, records: DataFrame, width: int = 1024) -> DataFrame:
+    """One row for each request (request, stream, from_sequence, max_records, max_bytes): request, outcome,
+    current_next_sequence, required_bytes, records, next_sequence.
+
+    Outcomes, the first that holds: INVALID_ARGUMENT, STREAM_NOT_FOUND, SEQUENCE_AHEAD, RECORD_TOO_LARGE with the bytes
+    that the first record needs, OK. A read at the tail is OK and empty. Requests meet records by stream and blocks of
+    `width` sequences, so a request meets the blocks that its range touches and no others.
+    """
+    ends = records.groupBy("stream").agg((F.max("sequence") + 1).alias("_tail"))
+    asked = requests.join(ends, "stream", "left")
+    invalid = (F.col("max_records") < 1) | (F.col("max_bytes") < 1) | (F.col("from_sequence") < 0)
+    asked = asked.withColumn("_can", ~F.coalesce(invalid, F.lit(True)) & F.coalesce(F.col("from_sequence") < F.col("_tail"), F.lit(False)))
+    last = F.least(F.col("from_sequence") + F.col("max_records"), F.col("_tail")) - 1
+    spans = asked.where("_can").select("request", "stream", "from_sequence", "max_bytes", last.alias("_last"))
+    spans = spans.withColumn("_block", F.explode(F.sequence(F.expr(f"from_sequence div {width}"), F.expr(f"_last div {width}"))))
+    met = spans.join(records.select("stream", "sequence", "frame_len", F.expr(f"sequence div {width}").alias("_block")), ["stream", "_block"]).where("sequence between from_sequence and _last")
+    run = F.sum("frame_len").over(W.partitionBy("request").orderBy("sequence").rowsBetween(W.unboundedPreceding, 0))
+    taken = met.withColumn("_run", run).groupBy("request").agg(F.count_if(F.col("_run") <= F.col("max_bytes")).alias("_n"), F.min_by("frame_len", "sequence").alias("_first"))
+    j = asked.join(taken, "request", "left")
+    large = F.coalesce(F.col("_first") > F.col("max_bytes"), F.lit(False))
+    outcome = F.when(F.coalesce(invalid, F.lit(True)), "INVALID_ARGUMENT").when(F.col("_tail").isNull(), "STREAM_NOT_FOUND").when(F.col("from_sequence") > F.col("_tail"), "SEQUENCE_AHEAD").when(large, "RECORD_TOO_LARGE").otherwise("OK")
+    n = F.coalesce("_n", F.lit(0))
+    return j.select("request", outcome.alias("outcome"), F.col("_tail").alias("current_next_sequence"), F.when(large, F.col("_first")).alias("required_bytes"), n.alias("records"), F.when(outcome == "OK", F.col("from_sequence") + n).alias("next_sequence"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns
 from ..operators import append, maintain, ordered, reads
 from ..sources.tables import records
+from . import streams
 
 REC = """WITH base AS (
   SELECT 'events' AS namespace, event_type AS stream, event_id AS entry_id,
@@ -221,3 +222,6 @@ ORACLE_SQL = {name: _oracle(name) for name in SHARED} | {
     "request_hash": _hash_sql(),
     "canonical_headers": REC + "SELECT entry_id, 'a=' || producer || ';z=' || stream AS headers FROM rec",
 }
+#: Where both name a query, its operator's form replaces the body shared by both engines.
+QUERIES |= streams.QUERIES
+ORACLE_SQL |= streams.oracle_sql(REC)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import frame_len
 from ..operators.ordered import running, sequenced
+from .store import RecordStore, shared_folder
 
 SEGMENT_ENTRIES = 1000
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each event: streams by event type, clamped times, dense sequences and byte offsets.
 
     Walls are perturbed by up to a minute so that the clamp has work; times are in microseconds since 1970.
@@ -27,3 +28,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = running(df.withColumn("frame_len", size), "wall_us", "recorded_us", "entry_id", how="max")
     df = running(sequenced(df, "entry_id", ("stream",)), "frame_len", "_end", "entry_id", ("stream",))
     return df.withColumn("byte_offset", F.col("_end") - F.col("frame_len")).drop("_end")
+
+
+_STORED: dict[tuple[str, str], RecordStore] = {}
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the events of a folder, from a store below the shared folder.
+
+    The first call of an application appends them to the store; events are append-only, so later calls read what is
+    stored, sorted by stream and sequence, and filters on both reach the scan.
+    """
+    return stored(spark, sf_dir).scan()
+
+
+def stored(spark: SparkSession, sf_dir: str) -> RecordStore:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        store = RecordStore(spark, shared_folder(spark, "records"))
+        store.append(derived(spark, sf_dir), "load")
+        _STORED[key] = store
+    return _STORED[key]
