@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import access, log, reads, registry, replicate, upkeep, validate
+from ..operators import access, log, reads, recovery, registry, replicate, upkeep, validate
 from ..sources.tables import stored
 
 FILE = 100
@@ -79,6 +79,8 @@ INPUTS = {
     "groups": "SELECT file_id AS stage, entries % 64 + 1 AS requests, bytes, first_entry_id * 13 % 900 AS wait_us FROM files",
     "codes": "SELECT DISTINCT stream, CASE WHEN stream = 'click' THEN 'DATA_LOSS' WHEN stream = 'view' THEN 'RESOURCE_EXHAUSTED' ELSE 'SEQUENCE_AHEAD' END AS code FROM rec UNION ALL SELECT 'x', 'NOT_A_CODE'",
     "paths": "SELECT DISTINCT concat(CASE WHEN entry_id % 5 = 0 THEN '/' WHEN entry_id % 5 = 1 THEN '../' WHEN entry_id % 5 = 2 THEN './' ELSE '' END, stream, CASE WHEN entry_id % 3 = 0 THEN '/' WHEN entry_id % 3 = 1 THEN '/x' ELSE '/a/../b' END) AS path FROM rec",
+    "faulty": "SELECT stream, sequence, entry_id, byte_offset + CASE WHEN entry_id % 199 = 7 THEN 1 ELSE 0 END AS byte_offset, frame_len, recorded_us - CASE WHEN entry_id % 211 = 9 THEN 1000000000 ELSE 0 END AS recorded_us FROM rec WHERE entry_id % 301 <> 5",
+    "tiles": "SELECT * FROM extents WHERE segment_id % 6 <> 4",
     "reading": "SELECT entry_id AS request, CASE WHEN entry_id % 29 = 0 THEN 'nowhere' ELSE stream END AS stream, sequence + CASE WHEN entry_id % 31 = 0 THEN 1000000 ELSE 0 END AS from_sequence, entry_id % 7 AS max_records, CASE WHEN entry_id % 11 = 0 THEN 60 ELSE 400 + entry_id % 300 END AS max_bytes FROM rec",
 }
 VIEWS = ("log", "files", "extents", "registry", "rec")
@@ -177,6 +179,7 @@ BODIES = {
     "store_read": lambda t: t.store.read("click", 5, 100, 1000).select("stream", "sequence", "entry_id", "running_bytes"),
     "store_extents": lambda t: t.store.extents().groupBy("stream").agg(F.min("first_sequence").alias("first_sequence"), F.max("next_sequence").alias("next_sequence"), F.sum("record_count").alias("record_count")),
     "store_verify": lambda t: t.store.verify(),
+    "scrub_all": lambda t: recovery.scrub(t["faulty"], t["tiles"]),
     "read_answers": lambda t: reads.answers(t["reading"], t["rec"]),
 }
 
@@ -252,6 +255,9 @@ SQL = {
     "store_read": "SELECT * FROM (SELECT stream, sequence, entry_id, CAST(sum(frame_len) OVER (ORDER BY sequence) AS BIGINT) AS running_bytes FROM rec WHERE stream = 'click' AND sequence BETWEEN 5 AND 104) r WHERE running_bytes <= 1000",
     "store_extents": "SELECT stream, min(sequence) AS first_sequence, max(sequence) + 1 AS next_sequence, count(*) AS record_count FROM rec GROUP BY stream",
     "store_verify": "SELECT CAST(entry_id AS VARCHAR) AS path, producer AS fault FROM rec WHERE false",
+    "scrub_all": """SELECT stream, sequence, fault FROM (SELECT *, lag(sequence) OVER w AS ps, lag(byte_offset + frame_len) OVER w AS po, lag(recorded_us) OVER w AS pt FROM faulty WINDOW w AS (PARTITION BY stream ORDER BY sequence)) q
+        CROSS JOIN LATERAL (SELECT unnest([CASE WHEN (ps IS NULL AND sequence <> 0) OR ps <> sequence - 1 THEN 'GAP' END, CASE WHEN ps = sequence - 1 AND po <> byte_offset THEN 'OFFSET' END, CASE WHEN ps = sequence - 1 AND recorded_us < pt THEN 'TIME' END]) AS fault) f WHERE fault IS NOT NULL
+        UNION ALL SELECT stream, first_sequence, 'EXTENT' FROM (SELECT *, coalesce(lag(next_sequence) OVER w, 0) AS s, coalesce(lag(next_byte_offset) OVER w, 0) AS b FROM tiles WINDOW w AS (PARTITION BY stream ORDER BY first_sequence)) e WHERE s <> first_sequence OR b <> first_byte_offset""",
     "read_answers": """SELECT request, outcome, current_next_sequence, required_bytes, records, next_sequence FROM (SELECT q.request, q.from_sequence, t.n AS current_next_sequence,
         CASE WHEN q.max_records < 1 OR q.max_bytes < 1 OR q.from_sequence < 0 THEN 'INVALID_ARGUMENT' WHEN t.n IS NULL THEN 'STREAM_NOT_FOUND' WHEN q.from_sequence > t.n THEN 'SEQUENCE_AHEAD' WHEN f.frame_len > q.max_bytes THEN 'RECORD_TOO_LARGE' ELSE 'OK' END AS outcome,
         CASE WHEN q.max_records >= 1 AND f.frame_len > q.max_bytes THEN f.frame_len END AS required_bytes, coalesce(a.n, 0) AS records, CASE WHEN q.max_records >= 1 AND t.n IS NOT NULL AND q.from_sequence <= t.n AND coalesce(f.frame_len, 0) <= q.max_bytes THEN q.from_sequence + coalesce(a.n, 0) END AS next_sequence

@@ -220,3 +220,46 @@ class RecordStore:
             fault = F.when(F.coalesce("_n", F.lit(0)) != F.col("n"), "COUNT").when(F.col("_bytes") != F.col("bytes"), "BYTES").when((F.col("_a") != F.col("a")) | (F.col("_b") != F.col("b")), "ENTRIES")
             out = out.unionByName(said.join(own, "path", "left").select("path", fault.alias("fault")).where("fault is not null"))
         return out
+
+    def identity(self, node: str | None = None) -> str:
+        """The name of the root's node, given once and never changed; without a name, the one that it has."""
+        path = self._path("identity")
+        if not self._fs.exists(path):
+            if not node:
+                raise StoreError("the root has no identity")
+            self._create("identity", json.dumps({"node": node}))
+        own = json.loads(self.spark.read.text(f"{self.root}/identity", wholetext=True).first()["value"])["node"]
+        if node is not None and own != node:
+            raise StoreError(f"the root belongs to {own}")
+        return own
+
+    def install(self, source: str) -> dict:
+        """Replace what the root holds by another store's current generation. The source is noted first, so that
+        resume_install() can finish an install that was cut off; nothing is visible before all is copied. An install
+        that would take back committed entries is refused."""
+        other = RecordStore(self.spark, source)
+        theirs, now = other.manifest(), self.manifest()
+        if theirs["last_entry_id"] < now["last_entry_id"]:
+            raise StoreError("the snapshot ends before what is committed here")
+        if not other.verify().isEmpty():
+            raise StoreError("the snapshot is damaged")
+        self._fs.delete(self._path("install"), False)
+        self._create("install", json.dumps({"source": source, "after": now["generation"], "segments": theirs["segments"], "last_entry_id": theirs["last_entry_id"]}))
+        return self.resume_install()
+
+    def resume_install(self) -> dict:
+        """Finish the install that is noted, if any. Segments are copied over what an earlier attempt left of them."""
+        if not self._fs.exists(self._path("install")):
+            return self.manifest()
+        note = json.loads(self.spark.read.text(f"{self.root}/install", wholetext=True).first()["value"])
+        now, other = self.manifest(), RecordStore(self.spark, note["source"])
+        if now["generation"] == note["after"]:
+            held = {s["path"] for s in now["segments"]}
+            for s in note["segments"]:
+                if s["path"] not in held:
+                    own = s["path"].rsplit("/", 1)[1]
+                    other.scan(paths=[s["path"]]).write.mode("overwrite").parquet(f"{self.root}/{s['path']}")
+                    self.spark.read.parquet(f"{other.root}/extents/{own}").write.mode("overwrite").parquet(f"{self.root}/extents/{own}")
+            now = self.publish(now, note["segments"], note["last_entry_id"], f"install-{note['after']}")
+        self._fs.delete(self._path("install"), False)
+        return now

@@ -1,12 +1,14 @@
 """Stored records: appends, generations, reads, compaction, snapshots; and operators without SQL."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from reclog import config, tool
 from reclog.functions import kernels
-from reclog.operators import access
+from reclog.operators import access, log, reads, recovery
 from reclog.sources.store import RecordStore, StoreError
 
 SCHEMA = "stream string, sequence long, entry_id long, byte_offset long, frame_len long, recorded_us long, payload string"
@@ -85,3 +87,44 @@ def test_rate_limit(spark):
         buckets[k] = (tokens - c if want[i] else tokens, t)
     df = spark.createDataFrame(asked, "key string, arrival long, time_us long, cost double").repartition(4)
     assert {r.arrival: r.admitted for r in access.rate_limited(df, 900, 20).collect()} == want and 0 < sum(want.values()) < 400
+
+
+def test_install_and_tool(spark, store, tmp_path):
+    copy, fresh, other = (f"file://{tmp_path}/{n}" for n in ("copy", "fresh", "other"))
+    assert tool.run(spark, ["snapshot", store.root, copy]) == (0, {"last_entry_id": 79}) and tool.run(spark, ["verify-snapshot", copy])[0] == 0
+    assert tool.run(spark, ["install-snapshot", fresh, copy]) == (0, {"generation": 1}) and RecordStore(spark, fresh).scan().count() == 80
+    assert tool.run(spark, ["scrub", fresh])[0] == 0 and tool.run(spark, ["resume-install", fresh]) == (0, {"generation": 1})
+    store.append(spark.createDataFrame(rows(80, 4), SCHEMA), "more")
+    with pytest.raises(StoreError):
+        store.install(copy)  # it would take back what is committed
+    late = RecordStore(spark, other)
+    late._create("install", json.dumps({"source": copy, "after": 0, "segments": RecordStore(spark, copy).manifest()["segments"], "last_entry_id": 79}))
+    assert late.resume_install()["record_count"] == 80 and late.identity("one") == late.identity() == "one"
+    with pytest.raises(StoreError):
+        late.identity("two")
+
+
+def test_scrub_finds_faults(spark):
+    good = rows(0, 40)
+    bad = [(s, q, e, o + (1 if e == 13 else 0), n, t - (30 if e == 21 else 0), p) for s, q, e, o, n, t, p in good if e != 30] + [good[5]]
+    df = spark.createDataFrame(bad, SCHEMA)
+    found = {tuple(r) for r in recovery.scrub(df, reads.extents(df.withColumn("segment_id", F.expr("entry_id div 20")))).collect()}
+    assert found == {("a", 16, "GAP"), ("b", 6, "OFFSET"), ("b", 7, "OFFSET"), ("b", 10, "TIME"), ("b", 2, "TWICE")}
+
+
+def test_recovery(spark):
+    df = spark.createDataFrame([(*r, f"r{r[2]}") for r in rows(0, 60)], SCHEMA + ", request_id string")
+    ext = reads.extents(df.where("entry_id < 24").withColumn("segment_id", F.lit(0)))
+    full = log.entries(df)
+    got = {r.stream: (r.next_sequence, r.next_byte_offset, r.replayed) for r in recovery.recovered(ext, full, 23).collect()}
+    assert got == {"a": (30, 300, 18), "b": (30, 300, 18)}
+    for part in (full.where("entry_id <> 40"), full.where("entry_id > 25"), full.where("entry_id <= 30"), full.withColumn("previous_checksum", F.col("previous_checksum") + (F.col("entry_id") == 44).cast("int"))):
+        with pytest.raises(recovery.RecoveryError):
+            recovery.recovered(ext, part, 23)
+
+
+def test_config():
+    assert config.parsed('{"root": "r", "batch_records": 5}').batch_records == 5
+    for text in ("[]", '{"root": ""}', '{"root": "r", "other": 1}', '{"root": "r", "root": "s"}', '{"root": "r", "batch_records": 0}', '{"root": "r", "node": "' + "x" * (4 << 20) + '"}'):
+        with pytest.raises(ValueError):
+            config.parsed(text)
