@@ -213,6 +213,35 @@ def test_licences(odd):
     assert licences.licences(odd).count() == 0
 
 
+def test_licences_against_every_window():
+    """Without the size bounds: every window between two shared bigrams, the best of each start, then the best apart."""
+    rng = random.Random(8)
+    shape = {"one": " ".join(rng.choice("abcdef") for _ in range(14)), "two": " ".join(rng.choice("defghi") for _ in range(20))}
+    t = licences.Templates(shape)
+    for _ in range(60):
+        own = []
+        for _ in range(rng.randrange(1, 5)):
+            part = rng.choice(list(shape.values())).split()
+            part[rng.randrange(len(part))] = rng.choice("az")
+            own += [rng.choice("axyz") for _ in range(rng.randrange(6))] + part[rng.randrange(3) :]
+        pairs, found = list(zip(own, own[1:])), []
+        for k, text in shape.items():
+            bag = Counter(zip(text.split(), text.split()[1:]))
+            for i in (i for i, g in enumerate(pairs) if g in bag):
+                best = None
+                for j in (j for j in range(i, len(pairs)) if pairs[j] in bag):
+                    d = 2 * (Counter(pairs[i : j + 1]) & bag).total() / (bag.total() + j + 1 - i)
+                    if d >= licences.LEAST and (best is None or d > best[0]):
+                        best = (d, k, i, j + 2 - i)
+                found += [best] if best else []
+        used, want = set(), []
+        for x in sorted(found, key=lambda x: (-x[0], -x[3], x[1], x[2])):
+            if used.isdisjoint(range(x[2], x[2] + x[3])):
+                used.update(range(x[2], x[2] + x[3]))
+                want.append(x)
+        assert t.matches(" ".join(own)) == sorted(want, key=lambda x: x[2])
+
+
 def test_mix(docs, odd):
     rows = mixing.mix(docs).collect()
     per = {}
@@ -275,6 +304,21 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_ownership_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, None if i % 11 == 0 else f"o{rng.randrange(5)}", " ".join(f"token={'v' * 6}{rng.randrange(12)}" for _ in range(rng.randrange(4)))) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, source string, text string")
+    owners = {}
+    for _, o, t in rows:
+        for v in t.split():
+            owners.setdefault(v, set()).add(o)
+    kind = lambda v: "example" if len(owners[v]) >= secrets.EXAMPLE_OWNERS else "live" if len(owners[v]) == 1 else "shared"
+    for r in secrets.scan(docs).collect():
+        n = Counter(kind(v) for v in rows[r.doc_id][2].split())
+        assert (r.n_live, r.n_shared, r.n_example) == (n["live"], n["shared"], n["example"])
+        assert r.most_owners == max((len(owners[v]) for v in rows[r.doc_id][2].split()), default=0)
+
+
 def test_main_text(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><header><a href=x>Home</a></header><nav><ul><li><a href=a>A</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Title &amp; more</h1><p><b>First part,<br>\n of it.<p>Second   one here.</p><form><p>Your mail?</p></form></article><div class='comments'><p>I do not agree with any of this at all, and I say so.</p></div><aside>More</aside><footer>&copy; me</footer></body></html>"
     assert html_text.main_text(page) == "Title & more\nFirst part, of it.\nSecond one here."
