@@ -44,7 +44,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf_dir: str) -> RecordStore:
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
+    if key not in _STORED or not _STORED[key].generations():  # the shared folder may have been cleared
         store = RecordStore(spark, shared_folder(spark, "records"))
         store.append(derived(spark, sf_dir), "load")
         _STORED[key] = store
