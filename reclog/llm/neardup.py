@@ -388,18 +388,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: the one with the class's least doc_id, null last; of texts under one id that
     with the least digest. Classes are kept apart by id and text: each keeps a row, be its id null or repeated.
 
-    Texts are shuffled once at most, to meet the keys of the rows that stay; of rows alike in id and text any stays.
+    Texts are shuffled once: the join with the keys of the rows that stay and the choice of one row of those alike in
+    id and text have one partitioning.
     """
-    signed, known = _rooted(docs, "doc_id", "text")
-    keep = known.groupBy("root").agg(F.min("first").alias("first")).select("first")
-    times = signed.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
-    keep = keep.select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_text"))
-    keep = saved(keep.join(times, (F.col("_text") == F.col("key")) & F.col("_keep").eqNullSafe(F.col("doc_id"))).select("_keep", "_text", "times"), "keep")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), text_key().alias("_key"))
-    on = (F.col("_key") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_keep"))
-    once = own.join(keep.where("times = 1"), on, "left_semi")
-    more = own.join(keep.where("times > 1"), on, "left_semi").dropDuplicates(["_id", "_key"])
-    return once.unionByName(more).select("row.*")
+    _, known = _rooted(docs, "doc_id", "text")
+    id_ = lambda c: F.coalesce(c.cast("string"), F.lit("none")).alias("_id")
+    keep = known.groupBy("root").agg(F.min("first").alias("first"))
+    keep = saved(keep.select(id_(F.col("first.doc_id")), F.col("first.key").alias("_key")), "keep")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_(F.col("doc_id").cast("long")), text_key().alias("_key"))
+    return own.join(keep, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
