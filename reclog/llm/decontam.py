@@ -55,6 +55,8 @@ def edits_of(n: int) -> int:
 def edit_search(item: str, text: str, most: int) -> tuple[int, int] | None:
     """(distance, end) of the substring of text nearest to item, by Myers' bit-parallel recurrence; None beyond most."""
     m = len(item)
+    if (whole := text.find(item)) >= 0:
+        return 0, whole + m
     peq: dict[str, int] = {}
     for i, c in enumerate(item):
         peq[c] = peq.get(c, 0) | 1 << i
@@ -187,6 +189,7 @@ class Finder:
                     wanted.setdefault(x, []).extend((r, max(0, p)) for p in sorted(places))
         spots = [(x, r, s) for x, places in wanted.items() for r, s in places]
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        known: dict[tuple[int, str], tuple[int, int] | None] = {}  # documents that share a passage share its windows
         for at in range(0, len(spots), WINDOWS):
             part = spots[at : at + WINDOWS]
             windows = [codes(plain[r][s : s + len(self.codes[x])]) for x, r, s in part]
@@ -196,7 +199,10 @@ class Finder:
                     item = self.items[x][1]
                     n, most = len(item), edits_of(len(item))
                     a = max(0, s - most)
-                    got = edit_search(item, plain[r][a : s + n + 2 * most + 1], most)
+                    window = plain[r][a : s + n + 2 * most + 1]
+                    if (x, window) not in known:
+                        known[x, window] = edit_search(item, window, most)
+                    got = known[x, window]
                     if got and ((r, x) not in best or (got[0], a + got[1]) < best[r, x]):
                         best[r, x] = (got[0], a + got[1])
         return [(r, self.items[x][0], d, max(0, e - len(self.codes[x])), e) for (r, x), (d, e) in best.items()]
