@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op6_exact_dedup": exact.OP6_SQL,
+    "op9_secret_scan": secrets.OP9_SQL,
 }

@@ -7,6 +7,8 @@ alone has looks live.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[n(k) for k, *_ in BASE], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("every")).alias("spans"), "n_live", "n_shared", "n_example", "most_owners")
+
+
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """SELECT of the spans of one kind, in DuckDB: gaps between matches give their places, as in _spans()."""
+    # DuckDB folds letters past ASCII under (?i); classes of both cases stay within it. Its \s leaves out \x0B.
+    if pattern.startswith("(?i)"):
+        keys, rest = pattern[4:].split(")", 1)
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", keys) + ")" + rest
+    quoted = pattern.replace("\\s", "\\t-\\r\\x20").replace("'", "''")
+    return f"""
+        SELECT row, {rank} AS rank, '{kind}' AS kind, start, start + length(hit) AS stop, value FROM (
+            SELECT row, hit, value, (sum(length(gap) + length(hit)) OVER (PARTITION BY row ORDER BY n) - length(hit))::BIGINT AS start FROM (
+                SELECT row, generate_subscripts(hits, 1) AS n, unnest(hits) AS hit, unnest(texts) AS value, unnest(gaps[:len(hits)]) AS gap FROM (
+                    SELECT row, regexp_extract_all(text, '{quoted}') AS hits, regexp_extract_all(text, '{quoted}', {group}) AS texts, string_split_regex(text, '{quoted}') AS gaps
+                    FROM docs WHERE regexp_matches(text, '{quoted}'))))
+        WHERE length(value) >= {least}"""
+
+
+OP9_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_kind_sql(i, k, *x) for i, (k, *x) in enumerate((*BASE, *MORE)))}),
+owners AS (
+    SELECT value, count(DISTINCT coalesce('s' || source, 'null')) AS owners
+    FROM spans JOIN docs USING (row) GROUP BY value),
+classed AS (
+    SELECT spans.*, owners, CASE WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN owners = 1 THEN 'live' ELSE 'shared' END AS class,
+        kind || ':' || start || ':' || stop AS span, rank < {len(BASE)} AS base
+    FROM spans JOIN owners USING (value)),
+found AS (
+    SELECT row, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in BASE)},
+        string_agg(span, ',' ORDER BY start, rank) FILTER (base) AS base,
+        string_agg(span, ',' ORDER BY start, rank) FILTER (base OR class = 'live') AS spans,
+        {", ".join(f"count(*) FILTER (class = '{c}') AS n_{c}" for c in ("live", "shared", "example"))}, max(owners) AS most_owners
+    FROM classed GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+    {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_live", "n_shared", "n_example", "most_owners"))}
+FROM docs LEFT JOIN found USING (row)
+"""

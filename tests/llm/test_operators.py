@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -304,6 +305,25 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secret_sql(spark, odd, tmp_path):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "A/b+" * 20 + "\x0b=\n-----END RSA PRIVATE KEY-----"
+    jwt, bearer, chat = "eyJabcdefgh.abcdefgh12.ABCDEFGH_-", "ghp_" + "a1B2" * 9, "xoxb-1234567890-a"
+    texts = ["token=abcdef12", "é😀 " + pem + " ſecret: abcdefgh to\u212aen=abcdefgh SECRET = 'abcdefgh", jwt + bearer + "," + chat, chat, "secret=token=abcdef" + "0f" * 20 + "AKIA" + "Z9" * 8, pem + pem, "password=abc", "passwd=qwerty12 " * 3, None, ""]
+    rows = [(i % 7 if i % 5 else None, t, f"o{i % 4}" if i % 6 else None) for i, t in enumerate(texts * 2)]
+    rows += [(90, "é" + pem.replace("A", "Q"), "o1"), (91, bearer.replace("a", "c"), "o2")]  # of one owner each
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(odd.select("doc_id", "text", "source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op9(spark, str(tmp_path)).toPandas()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(secrets.OP9_SQL).df()
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    listed = lambda df: sorted(map(repr, df[names].astype({"doc_id": "float"}).values.tolist()))
+    assert listed(got) == listed(want)
+    assert all(got["spans"].str.contains(k).any() for k in ("pem", "bearer", "assign", "access", "hex"))
+
+
 def test_ownership_against_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, None if i % 11 == 0 else f"o{rng.randrange(5)}", " ".join(f"token={'v' * 6}{rng.randrange(12)}" for _ in range(rng.randrange(4)))) for i in range(60)]
