@@ -30,6 +30,8 @@ MORE = (
 )
 #: A value of so many owners at least is a copied example.
 EXAMPLE_OWNERS = 3
+#: Matches of a text that are placed together.
+RUN = 256
 
 
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
@@ -40,7 +42,6 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     # Starting from the n-th gap, the n-th match begins where gaps and matches before it end.
     parts = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), value.alias("value"))
     kinds = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
@@ -49,10 +50,27 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         keep = x["hit"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(keep, F.concat(a["out"], F.array(item))).otherwise(a["out"]).cast(kinds).alias("out"))
 
-    spans = F.aggregate(parts, zero, step, lambda a: a["out"])
+    def places(runs: Column, sizes: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, n: a + n)
+        zero = lambda i: F.struct(start(i).alias("at"), F.array().cast(kinds).alias("out"))
+        return F.flatten(F.transform(runs, lambda run, i: F.aggregate(run, zero(i), step, lambda a: a["out"])))
+
+    width = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0)))
+    spans = _with(_runs(parts), lambda runs: _with(F.transform(runs, width), lambda sizes: places(runs, sizes)))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kinds))
 
 
+def _with(value: Column, body) -> Column:
+    """body(value), the value being computed once and not for each place in body that names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(parts: Column) -> Column:
+    """parts in runs of RUN: an array that grows by appending only grows to a run, so long texts take no square of work."""
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: F.slice(p, i * RUN + 1, F.lit(RUN)))
+    return _with(parts, cut)
+
+
 def candidates(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """Each row with its base and further spans: row, id, repo, owner, base, more."""
     text = F.col("_text")

@@ -324,6 +324,14 @@ def test_secret_sql(spark, odd, tmp_path):
     assert all(got["spans"].str.contains(k).any() for k in ("pem", "bearer", "assign", "access", "hex"))
 
 
+def test_spans_across_runs_of_matches(spark):
+    text = "".join(f"é token={'v' * (i % 9)} {'0f' * (i % 15)}\n" for i in range(4 * secrets.RUN + 3))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "token=abcdef " * secrets.RUN, "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.base if x.kind == "assign"] for r in secrets.candidates(docs).collect()}
+    want = {r.doc_id: [m.span() for m in re.finditer(r"token=\x20*([A-Za-z0-9]+)", r.text) if len(m[1]) >= 6] for r in docs.collect()}
+    assert got == want and len(want[2]) == secrets.RUN
+
+
 def test_ownership_against_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, None if i % 11 == 0 else f"o{rng.randrange(5)}", " ".join(f"token={'v' * 6}{rng.randrange(12)}" for _ in range(rng.randrange(4)))) for i in range(60)]
