@@ -131,7 +131,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     y = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).withColumn("_h", F.xxhash64("doc_id"))
     take = lambda c: y.where(c).orderBy("_h", "doc_id").limit(sample_rows)
     few = take("toxic = 1").union(take("toxic <> 1"))  # at most 2 * sample_rows ids: small enough to broadcast
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row an id, however often it is repeated
 
 
 def _seen(batches):
@@ -198,6 +199,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, sample_ro
     return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that score below the limit, with the columns of docs and their values, whatever their names.
+
+    Null and empty texts score at the intercept; repeated rows stay or go together; an empty table gives no rows.
+    """
+    prepare(docs.sparkSession)
+    return docs.where(score_column(train(docs, labels, sample_rows)) < limit)
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1

@@ -175,6 +175,16 @@ def test_toxicity(spark, odd):
     assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
     assert all(r.predicted == 0 for r in held if r.toxic == 0)
     assert toxicity.toxicity(odd, labels.limit(0)).count() == len(ODD)
+    # The filter drops what the scores reject and leaves columns that are called like its own.
+    named = docs.select("doc_id", "text", F.lit("own").alias("score"), F.col("doc_id").alias("predicted"))
+    kept = toxicity.clean(named, labels).collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 0").collect()}
+    assert all(r.score == "own" and r.predicted == r.doc_id for r in kept)
+    assert toxicity.clean(named.limit(0), labels).count() == 0
+    # An id that many rows bear is one row of the fit.
+    one = labels.where("toxic = 1 and crc32(cast(doc_id as string)) % 3 <> 1").limit(1)
+    many = docs.join(one, "doc_id").select("doc_id", "text").crossJoin(spark.range(50).select()).unionByName(docs.select("doc_id", "text"))
+    assert toxicity.training_rows(many, labels).count() == toxicity.training_rows(docs, labels).count()
 
 
 def test_surrogates(odd):
@@ -211,6 +221,9 @@ def test_licences(odd):
     assert [(k, d) for d, k, *_ in t.matches("word " * 30 + "Licensed under CC BY-NC 4.0. " + "word " * 9)] == [("cc-by-nc-4.0-notice", 1.0)]
     assert t.matches("the work is of the public and the license of it") == []
     assert [k for _, k, *_ in t.matches(licences.TEMPLATES["mit"].replace("sublicense", "lend"))] == ["mit"]
+    for k in ("bsd-2-clause", "bsd-3-clause", "zlib", "isc"):
+        own = f"Copyright (c) 2001, A. Holder. {licences.TEMPLATES[k].replace('software', 'program')} The end."
+        assert [x[1] for x in t.matches(own)] == [k]
     assert licences.licences(odd).count() == 0
 
 
