@@ -2,6 +2,9 @@
 
 import random
 
+import duckdb
+import pytest
+
 from reclog.operators import reads
 from reclog.plans import catalogue
 
@@ -28,6 +31,17 @@ def test_resolve_asks_over_whole_streams(spark):
     assert found.agg({"sequence": "max"}).first()[0] > 19000
 
 
+@pytest.mark.parametrize("mode", ["AT_OR_AFTER"])
+def test_resolve_differs_from_its_sql_by_the_cut_only(spark, mode):
+    sf, name = "/root/testdata/sf0.1", f"resolve_{mode.lower()}"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    ours = {tuple(r) for r in catalogue.QUERIES[name](spark, sf).collect()}
+    asked = set(duck.execute(catalogue.REC + catalogue.TARGETS).fetchall())
+    assert {r for r in ours if r[:2] in asked} == set(duck.execute(catalogue.ORACLE_SQL[name]).fetchall())
+    assert ours == set(duck.execute(catalogue.REC + catalogue._resolve_sql(mode, catalogue.WHOLE)).fetchall())
+
+
 def test_gaps_at_borders_of_chunks(spark):
     held = {"a": set(range(60)) - {9, 20, *range(30, 40), 55}, "b": set(range(3, 25)) - {10}}
     rows = spark.createDataFrame([(s, q) for s, x in held.items() for q in x], "stream string, sequence long")
