@@ -31,7 +31,7 @@ def test_resolve_asks_over_whole_streams(spark):
     assert found.agg({"sequence": "max"}).first()[0] > 19000
 
 
-@pytest.mark.parametrize("mode", ["AT_OR_AFTER"])
+@pytest.mark.parametrize("mode", ["AT_OR_AFTER", "AT_OR_BEFORE"])
 def test_resolve_differs_from_its_sql_by_the_cut_only(spark, mode):
     sf, name = "/root/testdata/sf0.1", f"resolve_{mode.lower()}"
     duck = duckdb.connect()
