@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK
+from . import ordered
+
+#: Sequences of a chunk in gaps(): far fewer than a task's rows, so that chunks spread evenly over tasks.
+GAP_CHUNK = 1 << 14
 
 
 def read(records: DataFrame, stream: str, start: int, max_records: int, max_bytes: int) -> DataFrame:
@@ -74,15 +77,17 @@ def locate(extents_: DataFrame, points: DataFrame) -> DataFrame:
     return points.alias("p").join(extents_.alias("x"), on, "left").select("p.stream", "p.sequence", "segment_id")
 
 
-def gaps(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def gaps(records: DataFrame, chunk: int = GAP_CHUNK, parts: int | None = None) -> DataFrame:
     """(stream, sequence) of the records whose predecessor is missing, but for the first of each stream.
 
-    The first record of a chunk of sequences follows the last one of the preceding chunk that has any.
+    The first record of a chunk of sequences follows the last one of the preceding chunk that has any. Chunks are dealt
+    to so many tasks as parts says, by default ordered.partitions().
     """
     own = records.select("stream", "sequence").withColumn("_chunk", F.floor(F.col("sequence") / chunk))
     ends = own.groupBy("stream", "_chunk").agg(F.max("sequence").alias("_end"))
     ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy("stream").orderBy("_chunk")))
     before = F.coalesce(F.lag("sequence").over(W.partitionBy("stream", "_chunk").orderBy("sequence")), F.col("_end"))
+    own = own.repartition(parts or ordered.partitions(records), "stream", "_chunk")
     return own.join(ends, ["stream", "_chunk"]).withColumn("_p", before).where("sequence <> _p + 1").select("stream", "sequence")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import log, reads
+from . import log, ordered, reads
 
 
 class RecoveryError(Exception):
@@ -34,18 +34,23 @@ def recovered(extents: DataFrame, log_: DataFrame, checkpoint: int, through: int
     return j.select("stream", F.coalesce("_next", "_old").alias("next_sequence"), (F.coalesce("_at", F.lit(0)) + F.coalesce("_bytes", F.lit(0))).alias("next_byte_offset"), F.coalesce("_n", F.lit(0)).alias("replayed"))
 
 
-def scrub(records: DataFrame, extents: DataFrame) -> DataFrame:
+def scrub(records: DataFrame, extents: DataFrame, chunk: int = reads.GAP_CHUNK) -> DataFrame:
     """(stream, sequence, fault) over stored records and their extents: GAP, OFFSET and TIME where a record doesn't
-    follow the one before, TWICE where a place is held twice, EXTENT where extents of a stream don't tile it."""
-    keys = ["stream", "sequence"]
-    gaps = reads.gaps(records.select(*keys).distinct()).withColumn("fault", F.lit("GAP"))
+    follow the one before, TWICE where a place is held twice, EXTENT where extents of a stream don't tile it.
+    A task sorts the extents of chunks of a stream's sequences, and of records about ordered.ROWS."""
+    keys, parts = ["stream", "sequence"], ordered.partitions(records)
+    deal = lambda df: df.repartition(parts, *keys)
+    gaps = reads.gaps(deal(records.select(*keys)).distinct(), chunk, parts).withColumn("fault", F.lit("GAP"))
     head = records.groupBy("stream").agg(F.min("sequence").alias("sequence")).where("sequence <> 0").withColumn("fault", F.lit("GAP"))
-    twice = records.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.lit("TWICE").alias("fault"))
+    twice = deal(records.select(*keys)).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, F.lit("TWICE").alias("fault"))
     before = records.select("stream", (F.col("sequence") + 1).alias("sequence"), (F.col("byte_offset") + F.col("frame_len")).alias("_end"), F.col("recorded_us").alias("_time"))
     found = F.array_compact(F.array(F.when(F.col("_end") != F.col("byte_offset"), "OFFSET"), F.when(F.col("recorded_us") < F.col("_time"), "TIME")))
-    near = records.join(before, keys).select(*keys, F.explode(found).alias("fault"))
-    o = W.partitionBy("stream").orderBy("first_sequence")  # one row for each segment of a stream
-    tiles = extents.withColumn("_s", F.coalesce(F.lag("next_sequence").over(o), F.lit(0))).withColumn("_b", F.coalesce(F.lag("next_byte_offset").over(o), F.lit(0)))
+    near = deal(records.select(*keys, "byte_offset", "frame_len", "recorded_us")).join(deal(before), keys).select(*keys, F.explode(found).alias("fault"))
+    tiles = extents.withColumn("_chunk", F.floor(F.col("first_sequence") / chunk)).withColumn("_end", F.struct("next_sequence", "next_byte_offset"))
+    ends = tiles.groupBy("stream", "_chunk").agg(F.max_by("_end", "first_sequence").alias("_past"))  # then as in gaps()
+    ends = ends.withColumn("_past", F.lag("_past").over(W.partitionBy("stream").orderBy("_chunk")))
+    past = F.coalesce(F.lag("_end").over(W.partitionBy("stream", "_chunk").orderBy("first_sequence")), F.col("_past"))
+    tiles = tiles.join(ends, ["stream", "_chunk"]).withColumn("_past", past).withColumn("_s", F.coalesce("_past.next_sequence", F.lit(0))).withColumn("_b", F.coalesce("_past.next_byte_offset", F.lit(0)))
     tiles = tiles.where((F.col("_s") != F.col("first_sequence")) | (F.col("_b") != F.col("first_byte_offset"))).select("stream", F.col("first_sequence").alias("sequence"), F.lit("EXTENT").alias("fault"))
     out = gaps.select(*keys, "fault")
     for part in (head.select(*keys, "fault"), twice, near, tiles):

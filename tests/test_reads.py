@@ -1,11 +1,13 @@
 """Lookups in time and gaps over whole streams, against plain Python."""
 
 import random
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from reclog.operators import reads
+from reclog.operators import ordered, reads, recovery
 from reclog.plans import catalogue
 
 RECORDS = "stream string, sequence long, recorded_us long"
@@ -53,3 +55,17 @@ def test_scrub_reports_a_gap_at_a_hundred_thousand(spark, monkeypatch):
     few = spark.range(99990, 100010).where("id <> 100000").selectExpr("'a' AS stream", "id AS sequence", "0L AS entry_id")
     monkeypatch.setattr(catalogue, "records", lambda s, d: few)
     assert [tuple(r) for r in catalogue.QUERIES["scrub_sequence"](spark, "").collect()] == [("a", 100001)]
+
+
+def test_scrub_by_chunks_and_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    rows = spark.range(1200).selectExpr("if(id < 700, 'a', 'b') AS stream", "id % 700 AS sequence", "id AS entry_id", "10 * (id % 700) + if(id % 99 = 7, 1, 0) AS byte_offset", "10L AS frame_len", "id - if(id % 83 = 9, 50, 0) AS recorded_us")
+    rows = rows.unionByName(rows.where("entry_id % 211 = 3")).where("entry_id % 71 <> 4 AND NOT sequence BETWEEN 120 AND 160").persist()
+    tiles = reads.extents(rows.withColumn("namespace", F.lit("n")).withColumn("segment_id", F.expr("entry_id div 7"))).persist()
+    fine, one = recovery.scrub(rows, tiles, chunk=20), recovery.scrub(rows, tiles, chunk=1 << 20)
+    assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, one.collect()))
+    assert {r.fault for r in one.collect()} == {"GAP", "OFFSET", "TIME", "TWICE", "EXTENT"}
+    plan = fine._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(rf"hashpartitioning\(stream#\d+, sequence#\d+L, {rows.count() // 100 + 1}\), REPARTITION_BY_NUM", plan)) >= 2
+    held = {(r.stream, r.sequence) for r in rows.collect()}
+    assert {(r.stream, r.sequence) for r in one.where("fault = 'GAP'").collect()} == {(s, q) for s, q in held if q and (s, q - 1) not in held}
